@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.runtime import cut_lineage
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that belongs to the public byte-level BPE vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -87,7 +89,8 @@ def pieces_of(size: int, capacity: int) -> list[tuple[int, int]]:
 
 def _pack(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, capacity: int, separator: int) -> np.ndarray:
     """Containers of pieces: a separator before every piece but the first is the same as one after each."""
-    order = np.lexsort((starts, ids, -sizes))
+    # online: an order that has nothing to do with the sizes, the same in every run
+    order = np.random.default_rng(len(sizes)).permutation(np.lexsort((starts, ids)))
     # every item carries one separator and the container has room for one more
     where = np.empty(len(sizes), np.int64)
     where[order] = sum_of_squares(sizes[order] + separator, capacity + separator)
@@ -108,7 +111,7 @@ def pack_items(
     ``sizes`` has ``id_col`` and ``tokens``, ``capacities`` has ``pack_name, capacity_tokens,
     separator_tokens`` (a small table of settings; rows with a null or non-positive capacity are no
     containers, a null separator is 0). Items without tokens are laid too (they take only a
-    separator); null ids form no item. Equal sizes are placed in the order of their ids. ``container``
+    separator); null ids form no item. Within a shard items come in a fixed, size-blind order. ``container``
     is unique within its pack. Extra columns are ignored.
     """
     kind = sizes.schema[id_col].dataType.simpleString()
@@ -118,7 +121,7 @@ def pack_items(
     empty = T.StructType([T.StructField("pack_name", T.StringType()), T.StructField("container", T.StringType()), *sizes.select(id_col).schema.fields, T.StructField("piece", T.IntegerType()), T.StructField("start_token", T.LongType()), T.StructField("tokens", T.LongType())])
     if not settings:
         return sizes.sparkSession.createDataFrame([], empty)
-    items = _persisted(items)
+    items = cut_lineage(items)
     shards = max(1, -(-items.count() // shard_items))
     pieces = F.explode(F.array(*[F.struct(F.lit(n).alias("pack_name"), F.lit(c).alias("capacity"), F.lit(s).alias("separator")) for n, c, s in settings])).alias("p")
     dealt = items.select("id", "tokens", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), pieces).select("p.*", "shard", "id", "tokens")
@@ -132,7 +135,7 @@ def pack_items(
     def again(group: pd.DataFrame) -> pd.DataFrame:
         return _laid(group, group[["id", "piece", "start_token", "tokens"]].reset_index(drop=True), int(group["capacity"].iloc[0]), int(group["separator"].iloc[0]), f"r{int(group['shard'].iloc[0])}")
 
-    laid = _persisted(dealt.groupBy("pack_name", "shard").applyInPandas(first, columns))
+    laid = cut_lineage(dealt.groupBy("pack_name", "shard").applyInPandas(first, columns))
     good = laid.filter(F.col("fill") >= well_filled)
     rest = laid.filter(F.col("fill") < well_filled).withColumn("shard", F.floor(F.col("shard") / pool))
     repacked = rest.groupBy("pack_name", "shard").applyInPandas(again, columns)
@@ -146,9 +149,3 @@ def _laid(group: pd.DataFrame, cut: pd.DataFrame, capacity: int, separator: int,
         pack_name=group["pack_name"].iloc[0], capacity=capacity, separator=separator, shard=group["shard"].iloc[0],
         container=[f"{prefix}-{w}" for w in where], fill=used[where] / capacity,
     )[["pack_name", "capacity", "separator", "shard", "container", "id", "piece", "start_token", "tokens", "fill"]]
-
-
-def _persisted(df: DataFrame) -> DataFrame:
-    from quern.runtime import cut_lineage
-
-    return cut_lineage(df)
