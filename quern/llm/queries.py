@@ -5,13 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.identity import canonical_hash
+from quern.llm.handwritten import not_handwritten
 from quern.llm.leakage import leaked_passages, strip_stock
+from quern.llm.neighbours import nearest_vectors, neighbour_pairs
 from quern.llm.packing import pack_items, token_counts
 from quern.llm.ranking import rank_items
+from quern.llm.secrets import credentials
+from quern.llm.splitting import split_oversized
 from quern.llm.subjects import subjects_of
 from quern.runtime import cut_lineage, read_table
 
 
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every credential with its place, and the content without it."""
+    return credentials(read_table(spark, sf_dir, "chunks"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_redacted(spark, sf_dir).select("chunk_id", "line_no").distinct()
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_oversized(read_table(spark, sf_dir, "chunks"), read_table(spark, sf_dir, "chunk_limits"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_pieces(spark, sf_dir).select("chunk_id").distinct()
+
+
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours of every hash, with the number of locations that hold it and the first of them."""
+    near = nearest_vectors(read_table(spark, sf_dir, "embedding_cache"))
+    held = read_table(spark, sf_dir, "chunk_locations").groupBy(canonical_hash(F.col("content_hash")).alias("key")).agg(F.count(F.lit(1)).alias("locations"), F.min(F.struct("repo_root", "path", "start_line")).alias("place")).filter("key is not null")
+    joined = near.withColumn("key", canonical_hash(F.col("neighbour"))).join(held, "key", "left")
+    return joined.select("model", "hash", "neighbour", "similarity", F.coalesce("locations", F.lit(0)).alias("locations"), "place.repo_root", "place.path", "place.start_line")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_pairs(nearest_vectors(read_table(spark, sf_dir, "embedding_cache")))
+
+
+def p7_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return not_handwritten(read_table(spark, sf_dir, "chunk_locations"), read_table(spark, sf_dir, "chunks"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_reasons(spark, sf_dir).select("repo_root", "path")
+
+
 def p6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_items(read_table(spark, sf_dir, "scored_items"), read_table(spark, sf_dir, "score_signals")).select("query_id", "item_index", "place")
 
@@ -64,6 +106,14 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_redacted": p1_redacted,
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
+    "p4_found": p4_found,
+    "p4_neighbours": p4_neighbours,
+    "p7_found": p7_found,
+    "p7_reasons": p7_reasons,
     "p6_found": p6_found,
     "p6_ranking": p6_ranking,
     "p8_containers": p8_containers,
@@ -74,4 +124,11 @@ QUERIES = {
     "p10_composition": p10_composition,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p2_found": """
+with limits as (select lower(trim(language)) as language, max_chunk_lines as ml, max_chunk_bytes as mb from chunk_limits),
+named as (select chunk_id, content, coalesce((select l.language from limits l where l.language = lower(trim(regexp_replace(c.language, '^\\s+|\\s+$', '', 'g')))), 'default') as language from chunks c)
+select distinct chunk_id from named join limits using (language)
+where len(content) > 0 and (len(content) - len(replace(content, chr(10), '')) + case when content like '%' || chr(10) then 0 else 1 end > ml or strlen(content) > mb)
+""",
+}
