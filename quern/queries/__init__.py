@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("integrity", "code", "vectors")
+MODULES = ("integrity", "code", "vectors", "stores")
 
 
 def registry() -> tuple[dict, dict]:
