@@ -129,8 +129,9 @@ def banded_run(passage: list[str], text: list[str], offset: int, band: int, run_
     """The longest qualifying run in the alignment of two word lists near one diagonal.
 
     ``offset`` is text index minus passage index of the diagonal. Returns (first text word, words,
-    altered) or None. Local alignment with +1 for equal words and -2 for each altered, missing or
+    altered) or None. Local alignment with +2 for equal words and -1 for each altered, missing or
     additional word; on its path the longest stretch with enough words and few enough changes wins.
+    A run begins and ends with an unaltered word.
     """
     best, where = 0, None
     rows: list[dict[int, tuple[int, int]]] = []  # text index -> (score, move); moves 1 diagonal, 2 up, 3 left
@@ -138,12 +139,12 @@ def banded_run(passage: list[str], text: list[str], offset: int, band: int, run_
     for i, word in enumerate(passage):
         row: dict[int, tuple[int, int]] = {}
         for j in range(max(0, i + offset - band), min(len(text), i + offset + band + 1)):
-            diagonal = previous.get(j - 1, (0, 0))[0] + (1 if word == text[j] else -2)
-            up, left = previous.get(j, (0, 0))[0] - 2, row.get(j - 1, (0, 0))[0] - 2
+            diagonal = previous.get(j - 1, (0, 0))[0] + (2 if word == text[j] else -1)
+            up, left = previous.get(j, (0, 0))[0] - 1, row.get(j - 1, (0, 0))[0] - 1
             score = max(diagonal, up, left)
             if score > 0:
                 row[j] = (score, 1 if score == diagonal else 2 if score == up else 3)
-                if score > best:
+                if score >= best:
                     best, where = score, (i, j)
         rows.append(row)
         previous = row
@@ -216,13 +217,13 @@ def leaked_passages(
     """``id, item_id, passage_no, first_word, words, altered``: one row per text and leaked passage.
 
     ``items`` holds (item, passage) rows of the held-out set; sentences that many passages share
-    must be removed before (``strip_stock``). Null or blank texts and passages, and passages of
+    must be removed before (``strip_stock``). Null items, null or blank texts and passages, and passages of
     fewer than ``run_words`` words, leak nowhere. Repeated texts each report their leaks. Other
     columns of both inputs are ignored, so clashing names do no harm.
     """
     spark = texts.sparkSession
     kind = texts.schema[id_col].dataType.simpleString()
-    held = items.select(F.col(item_col).cast("string"), F.col(passage_col).cast("string")).filter(F.col(passage_col).isNotNull()).distinct()
+    held = items.select(F.col(item_col).cast("string"), F.col(passage_col).cast("string")).na.drop().distinct()
     rows = sorted(tuple(r) for r in held.collect())  # the held-out set, bounded by what people wrote
     kept = [(item, w) for item, passage in rows if len(w := words_of(passage)) >= run_words]
     clean = clean_words(run_words, altered_share)
