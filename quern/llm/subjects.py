@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -95,22 +96,50 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _gradient(blob: tuple, params: list[np.ndarray], total: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    ids, lens, target, weight = blob
-    starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
-    hidden = np.add.reduceat(params[0][ids], starts, axis=0) / lens[:, None]
-    error = (_sigmoid(hidden @ params[1] + params[2]) - target) * (weight / total)[:, None]
-    back = np.repeat(error @ params[1].T / lens[:, None], lens, axis=0)
-    order = np.argsort(ids, kind="stable")
-    rows, first = np.unique(ids[order], return_index=True)
-    return rows, np.add.reduceat(back[order], first, axis=0), hidden.T @ error, error.sum(0)
+class _Packed(NamedTuple):
+    """Sentences of a partition: features of its words, words of its sentences, targets, weights."""
 
+    fids: np.ndarray
+    flens: np.ndarray
+    wids: np.ndarray
+    slens: np.ndarray
+    target: np.ndarray
+    weight: np.ndarray
 
-def _unpack(row, areas: int) -> tuple:
-    return (np.frombuffer(row.ids, np.int32), np.frombuffer(row.lens, np.int32), np.frombuffer(row.target, np.float32).reshape(-1, areas), np.frombuffer(row.weight, np.float32))
 
+def _starts(lens: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(lens)[:-1]))
 
-_BLOB = "part int, ids binary, lens binary, target binary, weight binary"
+
+def _hidden(blob: _Packed, embedding: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean embedding of every sentence, and its number of features; words are summed once."""
+    words = np.add.reduceat(embedding[blob.fids], _starts(blob.flens), axis=0)
+    at = _starts(blob.slens)
+    count = np.add.reduceat(blob.flens[blob.wids], at)
+    return np.add.reduceat(words[blob.wids], at, axis=0) / count[:, None], count
+
+
+def _summed(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of rows by key, for the keys in ascending order."""
+    order = np.argsort(keys, kind="stable")
+    rows, first = np.unique(keys[order], return_index=True)
+    return rows, np.add.reduceat(values[order], first, axis=0)
+
+
+def _gradient(blob: _Packed, params: list[np.ndarray], total: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    hidden, count = _hidden(blob, params[0])
+    error = (_sigmoid(hidden @ params[1] + params[2]) - blob.target) * (blob.weight / total)[:, None]
+    back = error @ params[1].T / count[:, None]
+    _, words = _summed(np.repeat(back, blob.slens, axis=0), blob.wids)  # every word of the partition occurs
+    rows, embedding = _summed(np.repeat(words, blob.flens, axis=0), blob.fids)
+    return rows, embedding, hidden.T @ error, error.sum(0)
+
+
+def _unpack(row, areas: int) -> _Packed:
+    return _Packed(*(np.frombuffer(getattr(row, c), np.int32) for c in ("fids", "flens", "wids", "slens")), np.frombuffer(row.target, np.float32).reshape(-1, areas), np.frombuffer(row.weight, np.float32))
+
+
+_BLOB = "part int, fids binary, flens binary, wids binary, slens binary, target binary, weight binary"
 
 
 def _packed(weak: DataFrame, areas: list[str], parts: int) -> DataFrame:
@@ -125,13 +154,17 @@ def _packed(weak: DataFrame, areas: list[str], parts: int) -> DataFrame:
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("sentence")
-        feats = [np.concatenate([features(w) for w in s.split(" ")]) for s in group["sentence"]]
+        split = [s.split(" ") for s in group["sentence"]]
+        words = {w: n for n, w in enumerate(sorted({w for s in split for w in s}))}
+        feats = [features(w) for w in words]
         target = np.zeros((len(group), len(areas)), np.float32)
         for n, labels in enumerate(group["labels"]):
             for label in labels:
                 target[n, number[label["area"]]] += label["weight"]
         weight = target.sum(1)
-        return pd.DataFrame({"part": [group["part"].iloc[0]], "ids": [np.concatenate(feats).astype(np.int32).tobytes()], "lens": [np.array([len(f) for f in feats], np.int32).tobytes()], "target": [(target / weight[:, None]).tobytes()], "weight": [weight.tobytes()]})
+        arrays = {"fids": np.concatenate(feats), "flens": [len(f) for f in feats], "wids": [words[w] for s in split for w in s], "slens": [len(s) for s in split]}
+        row = {c: [np.asarray(v, np.int32).tobytes()] for c, v in arrays.items()}
+        return pd.DataFrame({"part": [group["part"].iloc[0]], **row, "target": [(target / weight[:, None]).tobytes()], "weight": [weight.tobytes()]})
 
     return cut_lineage(placed.groupBy("part").applyInPandas(pack, _BLOB))
 
@@ -152,10 +185,11 @@ def _descend(packed: DataFrame, model: Model, steps: int, rate: float) -> None:
                     yield pd.DataFrame({"part": [row.part], "rows": [rows.astype(np.int32).tobytes()], "e": [e.astype(np.float32).tobytes()], "w": [w.astype(np.float32).tobytes()], "b": [b.astype(np.float32).tobytes()]})
 
         summed = [np.zeros_like(p) for p in model.params]
-        for row in sorted(packed.mapInPandas(gradients, "part int, rows binary, e binary, w binary, b binary").collect(), key=lambda r: r.part):
-            summed[0][np.frombuffer(row.rows, np.int32)] += np.frombuffer(row.e, np.float32).reshape(-1, DIM)
-            summed[1] += np.frombuffer(row.w, np.float32).reshape(DIM, -1)
-            summed[2] += np.frombuffer(row.b, np.float32)
+        returned = packed.mapInPandas(gradients, "part int, rows binary, e binary, w binary, b binary").toArrow().to_pylist()
+        for row in sorted(returned, key=lambda r: r["part"]):
+            summed[0][np.frombuffer(row["rows"], np.int32)] += np.frombuffer(row["e"], np.float32).reshape(-1, DIM)
+            summed[1] += np.frombuffer(row["w"], np.float32).reshape(DIM, -1)
+            summed[2] += np.frombuffer(row["b"], np.float32)
         for p, g, m, v in zip(model.params, summed, mean, square, strict=True):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
@@ -171,19 +205,20 @@ def _settled(packed: DataFrame, model: Model) -> DataFrame:
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                ids, lens, _, weight = _unpack(row, areas)
-                hidden = np.add.reduceat(sent.value[0][ids], np.concatenate(([0], np.cumsum(lens)[:-1])), axis=0) / lens[:, None]
+                hidden, _ = _hidden(_unpack(row, areas), sent.value[0])
                 p = _sigmoid(hidden @ sent.value[1] + sent.value[2])
                 target = ((p > 0.4) & (p == p.max(1, keepdims=True))).astype(np.float32)
-                yield pd.DataFrame({"part": [row.part], "ids": [row.ids], "lens": [row.lens], "target": [target.tobytes()], "weight": [row.weight]})
+                yield pd.DataFrame({c: [target.tobytes() if c == "target" else getattr(row, c)] for c in batch.columns})
 
     return cut_lineage(packed.mapInPandas(settle, _BLOB))
 
 
-def _fit(weak: DataFrame, areas: list[str], parts: int, steps: int, rate: float) -> Model:
+def _fit(weak: DataFrame, areas: list[str], parts: int, steps: int, rate: float, settle: bool = True) -> Model:
     packed = _packed(weak, areas, parts)
     model = Model(areas)
     _descend(packed, model, steps, rate)
+    if not settle:
+        return model
     packed = _settled(packed, model)
     model = Model(areas)
     _descend(packed, model, steps, rate)
@@ -207,7 +242,7 @@ def train_areas(
     text_col: str = "text",
     sample_documents: int = 4_000,
     example_weight: float = 3.0,
-    parts: int = 6,
+    parts: int = 4,
     steps: int = 35,
     rate: float = 0.05,
 ) -> Model:
@@ -227,8 +262,9 @@ def train_areas(
 
     schema = "sentence string, area string, weight double"
     weak = cut_lineage(usable.select("subject", "text").mapInPandas(labelled, schema))
-    model = _fit(weak, areas, parts, steps, rate)
-    if documents is None or sample_documents <= 0:
+    refine = documents is not None and sample_documents > 0
+    model = _fit(weak, areas, parts, steps, rate, settle=not refine)
+    if not refine:
         return model
     sample = documents.select(id_col, text_col).filter(F.col(text_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample_documents)
     sent = documents.sparkSession.sparkContext.broadcast(model)
