@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +67,17 @@ def with_columns_free(df: DataFrame, *names: str) -> None:
     for name in names:
         if name.lower() in taken:
             raise ValueError(f"column {name!r} is reserved by the operator; rename it first")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once, so that they need no install."""
+    context = spark.sparkContext
+    if getattr(context, "_quern_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="quern-")) / "quern.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))  # Spark's file server hands it to the executors
+    context._quern_shipped = True
