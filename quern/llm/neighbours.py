@@ -118,16 +118,20 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _sampled(reps: DataFrame, sample: int) -> dict[str, tuple[int, np.ndarray]]:
-    """Per model the number of vectors and a matrix of at most ``sample`` of them, by hash order."""
+    """Per model the number of vectors and a matrix of about ``sample`` of them, chosen by the hash of their id."""
     counts = {r["model"]: r["n"] for r in reps.groupBy("model").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per model
-    w = W.partitionBy("model").orderBy(F.xxhash64("id"), "id")
-    rows = reps.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= sample).select("model", "embedding").toArrow()
+    if not counts:
+        return {}
+    share = F.create_map(*[F.lit(x) for model, n in counts.items() for x in (model, min(1.0, sample / n))])
+    chosen = reps.filter(F.pmod(F.xxhash64("id", "members"), F.lit(1_000_000)) < share[F.col("model")] * 1_000_000)
+    rows = chosen.select("model", "id", "embedding").toArrow().sort_by("id")
     models = np.asarray(rows["model"].to_pylist(), object)
     vectors = rows["embedding"].combine_chunks() if rows.num_rows else None
     found = {}
     for model, n in counts.items():
         at = np.flatnonzero(models == model)
-        found[model] = (n, unit(_matrix(vectors.take(pa.array(at)))))
+        if len(at):
+            found[model] = (n, unit(_matrix(vectors.take(pa.array(at)))))
     return found
 
 

@@ -231,7 +231,7 @@ def find_credentials(content: str | None, path: str | None = None) -> list[Findi
         bare = line.strip()
         if opened and bare:
             value = bare.strip("\"'`,;+ \\")
-            if (password_like(value) or random_like(value) or mixed_case(value)) and not _ENTRY.match(bare):
+            if " " not in value and (password_like(value) or random_like(value) or mixed_case(value)) and not _ENTRY.match(bare):
                 at = offset + line.index(value)
                 add(at, at + len(value), "multi-line value", opened)
             opened = ""
