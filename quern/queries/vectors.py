@@ -273,7 +273,7 @@ select keyed.id, distance, h.repo_root, h.path, h.start_line from keyed left joi
     "search_semantic": f"with {_Q} select id, round(1 - distance, 6) as score from {_near(k=50)} where round(1 - distance, 6) > 0",
     "search_semantic_cross_repo": f"with {_Q} select label, n.id, round(1 - distance, 6) as score from {_near(k=50)} n join embeddings e on e.vec_id = n.id where round(1 - distance, 6) > 0",
     "hnsw_memory_estimate": "select model, dimensions, count(embedding) * dimensions * 4 + count(embedding) * 256 as bytes, round(count(embedding) / (100 / (dimensions / 768.0::double)), 6) as build_seconds from embedding_cache group by 1, 2",
-    "dimension_mismatch": "select model, count(*) as vectors, sum((len(embedding) <> dimensions)::int) as mismatched from embedding_cache where embedding is not null group by 1",
+    "dimension_mismatch": "select model, count(*) as vectors, sum((len(embedding) <> dimensions)::int)::bigint as mismatched from embedding_cache where embedding is not null group by 1",
     "vector_count": "select model, count(embedding) as vectors, count(*) as rows from embedding_cache group by 1",
     "vector_dim_validate": "select distinct content_hash, model, dimensions, created_at from embedding_cache where embedding is null or len(embedding) <> dimensions",
     "rrf": f"with {_LISTS} select id, rrf_score, score, sources from ({_rrf_sql()})",

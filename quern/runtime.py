@@ -70,7 +70,12 @@ def with_columns_free(df: DataFrame, *names: str) -> None:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers of the session, once, so that they need no install."""
+    """Send this package to the Python workers of the session, once, so that they need no install.
+
+    Arrow batches are bounded by bytes as well as by rows, so that long texts cannot fill a worker.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "0") or 0) in (0, 2**31 - 1, 2**63 - 1):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     context = spark.sparkContext
     if getattr(context, "_quern_shipped", False):
         return
