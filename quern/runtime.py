@@ -74,7 +74,7 @@ def ship_package(spark: SparkSession) -> None:
 
     Arrow batches are bounded by bytes as well as by rows, so that long texts cannot fill a worker.
     """
-    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "0") or 0) in (0, 2**31 - 1, 2**63 - 1):
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     context = spark.sparkContext
     if getattr(context, "_quern_shipped", False):
