@@ -124,7 +124,24 @@ QUERIES = {
     "p10_composition": p10_composition,
 }
 
+_RANKING = """
+with told as (select signal, coalesce(higher_is_better, true) as up, greatest(coalesce(weight, 0.1), 0) as w from score_signals),
+given as (select query_id as q, item_index as i, s.signal, max(case when coalesce(up, true) then score else -score end) as v, max(coalesce(w, 0.1)) as w
+  from scored_items s left join told t on t.signal = s.signal where score is not null and not isnan(score) and not isinf(score) group by 1, 2, 3),
+placed as (select *, (rank() over (partition by q, signal order by v) - 1 + count(*) over (partition by q, signal, v) / 2.0::double) / count(*) over (partition by q, signal) as share from given),
+odds as (select q, i, signal, w, ln(share / (1 - share)) as o from placed),
+item as (select q, i, sum(w) as sw, sum(w * o) as so, list(w order by signal) as ws, list(o order by signal) as os from odds group by 1, 2),
+wide as (select *, max(len(ws)) over () as widest, case when sw > 0 then so / sw else 0 end as mean from item),
+standing as (select q, i, list_transform(list_sort(list_concat(
+  list_transform(list_zip(ws, os), lambda z: case when sw - z[1] > 1e-12 then (so - z[1] * z[2]) / (sw - z[1]) else mean end),
+  list_transform(range(widest - len(ws)), lambda x: mean))), lambda x: round(x, 9)) as s from wide),
+every as (select distinct query_id as q, item_index as i from scored_items where query_id is not null and item_index is not null),
+ranking as (select e.q as query_id, e.i as item_index, (row_number() over (partition by e.q order by coalesce(s.s, []) desc, e.i))::int as place from every e left join standing s on s.q = e.q and s.i = e.i)
+"""
+
 SQL: dict[str, str] = {
+    "p6_ranking": _RANKING + "select query_id, item_index, place from ranking",
+    "p6_found": _RANKING + "select query_id, item_index from ranking where place <= 5",
     "p2_found": """
 with limits as (select lower(trim(language)) as language, max_chunk_lines as ml, max_chunk_bytes as mb from chunk_limits),
 named as (select chunk_id, content, coalesce((select l.language from limits l where l.language = lower(trim(regexp_replace(c.language, '^\\s+|\\s+$', '', 'g')))), 'default') as language from chunks c)
