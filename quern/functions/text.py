@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Path patterns; alternation is leftmost-first, so .tsx is found as .ts.
 PATH_PATTERNS = (
-    r"[a-zA-Z0-9_\-./]+\.(?:go|py|js|ts|tsx|jsx|rs|java|c|cpp|h|hpp|rb|php|swift|kt|scala|sh|sql|md|json|yaml|yml|toml)",
-    r"(?:src|lib|cmd|pkg|internal|app|test|tests)/[a-zA-Z0-9_\-./]+",
+    r"[\w\-./]+\.(go|py|js|ts|tsx|jsx|java|rb|rs|c|cpp|h|hpp|sql|sh)",
+    r"[\w\-]+/[\w\-./]+",
 )
 
 
@@ -39,16 +39,19 @@ def snippet_label(path: Column, start: Column, end: Column) -> Column:
 
 
 def truncate_snippet(text: Column, limit: int) -> Column:
-    """Whole leading lines of up to ``limit`` characters and ``...``; a longer first line is cut."""
-    lines = F.split(text, "\n")
+    """Whole leading lines below ``limit`` characters and ``...``; a longer first line is cut.
+
+    Empty lines before the first text are left out. Lengths are in characters, so none is split.
+    """
+    start = F.struct(F.lit("").alias("t"), F.lit(False).alias("full"))
     state = F.aggregate(
-        lines,
-        F.struct(F.lit("").alias("t"), F.lit(False).alias("full"), F.lit(0).alias("n")),
-        lambda a, x: F.when(a["full"] | (F.length(a["t"]) + F.length(x) + F.when(a["n"] > 0, 1).otherwise(0) > limit), F.struct(a["t"].alias("t"), F.lit(True).alias("full"), a["n"].alias("n"))).otherwise(
-            F.struct(F.when(a["n"] > 0, F.concat(a["t"], F.lit("\n"), x)).otherwise(x).alias("t"), F.lit(False).alias("full"), (a["n"] + 1).alias("n"))
+        F.split(text, "\n"),
+        start,
+        lambda a, x: F.when(a["full"] | (F.length(a["t"]) + F.length(x) + 1 > limit), F.struct(a["t"].alias("t"), F.lit(True).alias("full"))).otherwise(
+            F.struct(F.when(a["t"] != "", F.concat(a["t"], F.lit("\n"), x)).otherwise(x).alias("t"), F.lit(False).alias("full"))
         ),
     )
-    cut = F.when(state["n"] > 0, F.concat(state["t"], F.lit("\n..."))).otherwise(F.concat(F.substring(text, 1, limit), F.lit("...")))
+    cut = F.when(state["t"] != "", F.concat(state["t"], F.lit("\n..."))).otherwise(F.concat(F.substring(text, 1, limit), F.lit("...")))
     return F.when(F.length(text) <= limit, text).otherwise(cut)
 
 

@@ -77,15 +77,15 @@ def extract_definitions(chunks: DataFrame, language: str, text: str, keys: list[
 
 
 #: Prefixes that are cut from a definition's text, each once, in this order.
-NAME_PREFIXES = ("func ", "function ", "def ", "class ", "type ", "struct ", "interface ", "enum ", "pub ", "fn ", "const ", "var ")
+NAME_PREFIXES = ("func ", "function ", "def ", "class ", "interface ", "type ", "struct ", "enum ", "trait ", "const ", "let ", "var ")
 
 
 def extract_name(text: Column) -> Column:
     """The name a definition's text starts with, ``unknown`` if there is none."""
     prefixes = F.array(*[F.lit(p) for p in NAME_PREFIXES])
     value = F.aggregate(prefixes, F.trim(text), lambda v, p: F.when(F.startswith(v, p), F.substr(v, F.length(p) + 1)).otherwise(v))
-    name = F.trim(F.regexp_extract(value, r"^[^({<:=]*", 0))
-    return F.when(name != "", name).otherwise(F.lit("unknown"))
+    name = F.regexp_extract(value, r"^[({<:=]*([^({<:=]+)", 1)
+    return F.when(name != "", F.trim(name)).otherwise(F.lit("unknown"))
 
 
 def parse_grep_line(line: Column) -> Column:

@@ -34,13 +34,13 @@ class Chunk(NamedTuple):
 
 
 #: Language by extension, and node types by header pattern (group 1: name).
-GRAMMARS = {"go": "go", "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "rs": "rust", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "rb": "ruby"}
+GRAMMARS = {"go": "go", "py": "python", "js": "javascript", "mjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "rs": "rust", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp", "rb": "ruby"}
 _ID = r"([A-Za-z_$][\w$]*)"
 HEADERS = {
     "go": [("method_declaration", rf"func \([^)]*\) {_ID}"), ("function_declaration", rf"func {_ID}"), ("type_declaration", rf"type {_ID}"), ("const_declaration", rf"const {_ID}?"), ("var_declaration", rf"var {_ID}?")],
-    "javascript": [("function_declaration", rf"(?:async )?function\*? {_ID}"), ("class_declaration", rf"class {_ID}"), ("export_statement", rf"export (?:default )?(?:async )?(?:function\*?|class|const|let|var)? ?{_ID}?")],
+    "javascript": [("function_declaration", rf"(?:async )?function\*? {_ID}"), ("class_declaration", rf"class {_ID}"), ("export_statement", rf"export (?:default )?(?:async )?(?:function\*?|class|const|let|var)? ?{_ID}?"), ("arrow_function", rf"(?:const|let|var) {_ID} = (?:async )?(?:\([^)]*\)|\w+) =>"), ("method_definition", rf"(?!(?:if|for|while|switch|catch|function|return)\b)(?:(?:static|async|get|set) )*{_ID}\([^)]*\) \{{")],
     "rust": [("function_item", rf"(?:pub(?:\([a-z]+\))? )?(?:async |unsafe |const )*fn {_ID}"), ("impl_item", rf"impl(?:<[^>]*>)? {_ID}"), ("struct_item", rf"(?:pub )?struct {_ID}"), ("enum_item", rf"(?:pub )?enum {_ID}"), ("trait_item", rf"(?:pub )?trait {_ID}"), ("mod_item", rf"(?:pub )?mod {_ID}")],
-    "java": [("class_declaration", rf"(?:(?:public|private|protected|static|final|abstract) )*class {_ID}"), ("interface_declaration", rf"(?:(?:public|private|protected|static) )*interface {_ID}"), ("method_declaration", rf"(?:(?:public|private|protected|static|final|abstract|synchronized) )+[\w<>\[\], ]+ {_ID}\s*\(")],
+    "java": [("class_declaration", rf"(?:(?:public|private|protected|static|final|abstract) )*class {_ID}"), ("interface_declaration", rf"(?:(?:public|private|protected|static) )*interface {_ID}"), ("method_declaration", rf"(?:(?:public|private|protected|static|final|abstract|synchronized) )+[\w<>\[\], ]+ {_ID}\s*\("), ("constructor_declaration", rf"(?:public|private|protected) {_ID}\s*\(")],
     "c": [("struct_specifier", rf"(?:typedef )?struct {_ID}"), ("enum_specifier", rf"(?:typedef )?enum {_ID}"), ("function_definition", rf"(?:[A-Za-z_][\w \*]*[ \*]){_ID}\s*\([^;]*$")],
     "cpp": [("class_specifier", rf"class {_ID}"), ("struct_specifier", rf"struct {_ID}"), ("namespace_definition", rf"namespace {_ID}"), ("function_definition", rf"(?:[A-Za-z_][\w:<> \*&]*[ \*&]){_ID}\s*\([^;]*$")],
     "ruby": [("class", rf"class {_ID}"), ("module", rf"module {_ID}"), ("method", r"def (?:self\.)?([\w?!=]+)")],

@@ -197,8 +197,8 @@ select path, line::int as line, snippet, (101 - r)::int as score from first wher
     "parse_grep_line": r"with g as (select id, path || ':' || start_line || ':' || coalesce(node_name, '') as t from chunk_locations) select id, regexp_extract(t, '^([^:]+):(\d+):(.*)$', 1) as path, regexp_extract(t, '^([^:]+):(\d+):(.*)$', 2)::int as line, regexp_extract(t, '^([^:]+):(\d+):(.*)$', 3) as content from g",
     "query_builder_page": "select id, name, path, line from symbols where kind = 'function' and language = 'go' order by name, id limit 100 offset 50",
     "snippet_label": "select id, '[' || path || ':' || start_line || '-' || end_line || '] (' || (end_line - start_line + 1) || ' lines)' as label from chunk_locations",
-    "truncate_snippet": f"""with d as (select doc_id, text, string_split(text, {_NL}) as l from documents),
-c as (select *, len(list_filter(range(1, least(len(l), 121) + 1), lambda i: len(array_to_string(l[1:i], {_NL})) <= 120)) as n from d)
+    "truncate_snippet": f"""with d as (select doc_id, text, string_split(ltrim(text, {_NL}), {_NL}) as l from documents),
+c as (select *, case when len(l[1]) > 119 then 0 else len(list_filter(range(1, least(len(l), 121) + 1), lambda i: len(array_to_string(l[1:i], {_NL})) <= 120)) end as n from d)
 select doc_id, case when len(text) <= 120 then text when n > 0 then array_to_string(l[1:n], {_NL}) || {_NL} || '...' else substr(text, 1, 120) || '...' end as snippet from c""",
     "content_hash": "select doc_id, sha256(text) as content_hash from documents",
     "extract_paths": "with f as (select doc_id, "
@@ -208,7 +208,7 @@ select doc_id, case when len(text) <= 120 then text when n > 0 then array_to_str
     "find_symbol_kind": "select id, name, kind, path, line, (case when lower(name) = 'record' then 0 when lower(name) like 'record%' then 1 else 2 end)::int as match_rank from symbols where name ilike '%record%' and kind = 'method' order by match_rank, name, id limit 30",
     "list_defs_in_file": "select path, line, name, kind, id from symbols where path = (select min(path) from symbols where path <> '')",
     "extract_definitions": f"with {_DEFS} select chunk_id, line::int as line, kind, name from defs",
-    "extract_name": rf"select id, case when trim(regexp_extract(v, '^[^({{<:=]*')) <> '' then trim(regexp_extract(v, '^[^({{<:=]*')) else 'unknown' end as extracted from ({_chain('pattern')})",
+    "extract_name": rf"select id, case when regexp_extract(v, '^[({{<:=]*([^({{<:=]+)', 1) <> '' then trim(regexp_extract(v, '^[({{<:=]*([^({{<:=]+)', 1)) else 'unknown' end as extracted from ({_chain('pattern')})",
     "normalize_kind": f"select {_case(LANG.SYMBOL_KINDS, 'lower(kind)', 'kind')} as kind, count(*) as n from symbols group by 1",
     "detect_language": f"select {_case(LANG.LOCATION_LANGUAGES, _EXT, repr('unknown'))} as language, {_CODE.format(_EXT)} as is_code, count(*) as n from chunk_locations group by 1, 2",
     "dedupe_symbols": "select id, repo_root, path, line, name from (select *, row_number() over (partition by repo_root, path, line, name order by id) as n from symbols) where n = 1",

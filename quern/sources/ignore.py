@@ -9,9 +9,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Names that a tree scan never enters or reads.
-IGNORED_NAMES = (".git", ".svn", ".hg", "node_modules", "vendor", "__pycache__", ".venv", "venv", "dist", "build", "target", ".idea", ".vscode", ".DS_Store", "coverage", ".cache", ".tox", ".mypy_cache", ".pytest_cache", "bin", "obj")
+IGNORED_NAMES = (".git", ".svn", ".hg", "node_modules", "vendor", "bower_components", "dist", "build", "out", "target", "bin", "__pycache__", ".pytest_cache", ".mypy_cache", ".tox", ".cache", ".idea", ".vscode", ".vs", ".DS_Store", "Thumbs.db")
 #: Hidden names that are read nevertheless.
-HIDDEN_ALLOWED = (".github", ".gitignore", ".gitattributes", ".editorconfig", ".env.example", ".dockerignore", ".eslintrc")
+HIDDEN_ALLOWED = (".gitignore", ".dockerignore", ".editorconfig", ".prettierrc", ".eslintrc", ".eslintrc.json", ".eslintrc.js")
+#: Directories an incremental scan skips.
+SCAN_IGNORED = ("node_modules", "vendor", "dist", "build", "target", "__pycache__", ".git", ".svn", ".hg")
+#: Directories that are not watched.
+WATCH_IGNORED = (
+    ".git", ".svn", ".hg", ".idea", ".vscode", "dist", "build", "target", "out", "node_modules", "vendor", ".bundle", "Pods", "__pycache__", ".venv", "venv", "env", ".tox", ".pytest_cache",
+    "tmp", "log", "coverage", "sorbet", ".cache", ".next", ".nuxt", ".turbo", ".parcel-cache", "public/assets", "public/packs",
+)
 
 
 def parse_gitignore(content: str) -> list[str]:
