@@ -82,7 +82,8 @@ class PassageIndex:
     """Sorted q-gram hashes of a block of passages with their positions, and the bound of each."""
 
     def __init__(self, passages: list[list[str]], clean: int):
-        self.words = passages
+        self.words, self.clean = passages, clean
+        self.stretches = [{tuple(w[i : i + clean]) for i in range(len(w) - clean + 1)} for w in passages]
         hashes, owner, position, need = [], [], [], []
         for number, words in enumerate(passages):
             joined = " ".join(words).encode()
@@ -117,12 +118,14 @@ def _regions(index: PassageIndex, at: np.ndarray, passage: np.ndarray, position:
     """(passage, first, last text position) of the bands of one text that meet their bound."""
     diagonal = at - position + (1 << 40)
     for shift in (0, width // 2):
-        key = passage * (1 << 41) // 1 + (diagonal + shift) // width
+        key = passage * (1 << 41) + (diagonal + shift) // width
         order = np.argsort(key, kind="stable")
-        cut = np.flatnonzero(np.diff(key[order])) + 1
-        for group in np.split(order, cut):
-            if len(group) and len(group) >= index.need[passage[group[0]]]:
-                yield int(passage[group[0]]), int(at[group].min()), int(at[group].max())
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        size = np.diff(first, append=len(key))
+        owner = passage[order[first]]
+        for n in np.flatnonzero(size >= index.need[owner]):
+            group = at[order[first[n] : first[n] + size[n]]]
+            yield int(owner[n]), int(group.min()), int(group.max())
 
 
 def banded_run(passage: list[str], text: list[str], offset: int, band: int, run_words: int, altered_share: float) -> tuple[int, int, int] | None:
@@ -196,6 +199,9 @@ def _scan(texts: list[str | None], index: PassageIndex, run_words: int, altered_
             item_word = len(b" ".join(w.encode() for w in own)[:at_item].split(b" ")) - 1
             low = max(0, left - item_word - 30)
             high = int(np.searchsorted(starts, last, "right")) + len(own) + 30
+            # the lemma on words: some stretch of neighbours is unaltered in every qualifying run
+            if not any(tuple(words[n][j : j + index.clean]) in index.stretches[p] for j in range(low, min(high, len(words[n])) - index.clean + 1)):
+                continue
             run = banded_run(own, words[n][low:high], left - item_word - low, 24, run_words, altered_share)
             if run:
                 done[p] = (run[0] + low, run[1], run[2])
