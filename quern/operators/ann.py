@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.vectors import normalize
 from quern.operators.knn import knn
+from quern.runtime import hash_sample
 
 
 class IvfIndex:
@@ -25,9 +26,9 @@ class IvfIndex:
 
     @classmethod
     def build(cls, vectors: DataFrame, id_col: str, vector_col: str, lists: int = 32, sample: int = 50_000, seed: int = 1) -> IvfIndex:
-        """Fit at most ``lists`` centroids on the ``sample`` vectors with the smallest id hashes."""
+        """Fit at most ``lists`` centroids on about ``sample`` vectors, those with the smallest id hashes."""
         unit = vectors.filter(F.col(vector_col).isNotNull()).withColumn("__unit", array_to_vector(normalize(F.col(vector_col))))
-        some = unit.orderBy(F.xxhash64(id_col), id_col).limit(sample)
+        some = hash_sample(unit, id_col, sample)
         model = KMeans(k=lists, seed=seed, featuresCol="__unit", predictionCol="list", maxIter=15).fit(some)
         return cls(model.transform(unit).drop("__unit"), np.array(model.clusterCenters()), id_col, vector_col)
 

@@ -86,3 +86,14 @@ def ship_package(spark: SparkSession) -> None:
             out.write(file, file.relative_to(root.parent))
     context.addPyFile(str(archive))  # Spark's file server hands it to the executors
     context._quern_shipped = True
+
+
+def hash_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """About ``rows`` rows, those with the smallest hashes of their id; all if there are no more.
+
+    A count and a filter: no sort, and nothing but the sample moves.
+    """
+    n, space = df.count(), 2**31 - 1
+    if n <= rows:
+        return df
+    return df.filter(F.pmod(F.xxhash64(id_col), F.lit(space)) < int(space * rows / n))
