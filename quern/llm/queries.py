@@ -14,7 +14,7 @@ from quern.llm.ranking import rank_items
 from quern.llm.secrets import credentials
 from quern.llm.splitting import split_oversized
 from quern.llm.subjects import subjects_of
-from quern.runtime import cut_lineage, read_table
+from quern.runtime import broadcast_if_small, cut_lineage, read_table
 
 
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def p8_free_room(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per pack: containers, documents, tokens laid and room left (separators are used room)."""
     packs = read_table(spark, sf_dir, "pack_capacities").select("pack_name", "capacity_tokens", F.coalesce("separator_tokens", F.lit(0)).alias("separator"))
     per = p8_containers(spark, sf_dir).groupBy("pack_name", "container").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
-    return per.join(F.broadcast(packs), "pack_name").groupBy("pack_name").agg(
+    return per.join(broadcast_if_small(packs), "pack_name").groupBy("pack_name").agg(
         F.count(F.lit(1)).alias("containers"),
         F.sum("tokens").alias("tokens"),
         F.sum(F.col("capacity_tokens") - F.col("tokens") - F.col("separator") * (F.col("pieces") - 1)).alias("free_tokens"),

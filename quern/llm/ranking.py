@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quern.runtime import cut_lineage, with_columns_free
+from quern.runtime import broadcast_if_small, cut_lineage, with_columns_free
 
 
 def positions(df: DataFrame, group: list[str], order: list[Column], weight: Column | None = None) -> DataFrame:
@@ -52,7 +52,7 @@ def rank_items(scores: DataFrame, signals: DataFrame, query: str = "query_id", i
     told = signals.select(F.col("signal"), F.coalesce("higher_is_better", F.lit(True)).alias("up"), F.greatest(F.coalesce("weight", F.lit(default_weight)), F.lit(0.0)).alias("w")).dropDuplicates(["signal"])
     rows = scores.select(F.col(query).alias("q"), F.col(item).alias("i"), "signal", F.col("score").cast("double").alias("score")).filter("q is not null and i is not null")
     usable = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf")) & F.col("signal").isNotNull()
-    given = rows.filter(usable).join(F.broadcast(told), "signal", "left").select("q", "i", "signal", F.when(F.coalesce("up", F.lit(True)), F.col("score")).otherwise(-F.col("score")).alias("v"), F.coalesce("w", F.lit(default_weight)).alias("w"))
+    given = rows.filter(usable).join(broadcast_if_small(told), "signal", "left").select("q", "i", "signal", F.when(F.coalesce("up", F.lit(True)), F.col("score")).otherwise(-F.col("score")).alias("v"), F.coalesce("w", F.lit(default_weight)).alias("w"))
     given = cut_lineage(given.groupBy("q", "i", "signal").agg(F.max("v").alias("v"), F.max("w").alias("w")))
     distinct = given.groupBy("q", "signal", "v").agg(F.count(F.lit(1)).alias("n"))
     placed = positions(distinct, ["q", "signal"], [F.col("v")], F.col("n"))

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.runtime import broadcast_if_small
+
 _START = re.compile(
     r"\s*(?:#{1,6} |(?:export |pub |public |private |protected |static |async |final |abstract )*(?:func|def|class|fn|impl|struct|enum|trait|interface|type|function|module|namespace)\b|@\w|\[[\w.\-\" ]+\]\s*$|<\w)"
 )
@@ -180,7 +182,7 @@ def with_limits(chunks: DataFrame, limits: DataFrame, language: str = "language"
     told = limits.select(name(F.col("language")).alias("__language"), F.struct(bound("max_chunk_lines").alias("max_lines"), bound("max_chunk_bytes").alias("max_bytes"), F.greatest(F.coalesce("chunk_overlap", F.lit(0)), F.lit(0)).cast("int").alias("overlap")).alias("__limit"))
     told = told.filter("__language is not null").groupBy("__language").agg(F.max("__limit").alias("__limit"))  # a settings table: a row per language
     default = told.filter("__language = 'default'").agg(F.first("__limit").alias("__default"))
-    joined = chunks.withColumn("__language", name(F.col(language))).join(F.broadcast(told), "__language", "left").crossJoin(F.broadcast(default))
+    joined = chunks.withColumn("__language", name(F.col(language))).join(broadcast_if_small(told), "__language", "left").crossJoin(F.broadcast(default))
     return joined.withColumn("__limit", F.coalesce("__limit", "__default")).select(*chunks.columns, "__limit.*")
 
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.runtime import cut_lineage
+from quern.runtime import cut_lineage, hash_sample
 
 BUCKETS, DIM = 1 << 15, 16
 _FENCE = re.compile(r"(?ms)^[^\w\n]*```.*?(?:^[^\w\n]*```|\Z)")
@@ -248,7 +248,7 @@ def train_areas(
 ) -> Model:
     """A model of the areas in ``examples`` (``subject``, ``text``), refined on clear documents.
 
-    At most ``sample_documents`` documents, those with the smallest hashes of their ids, take part
+    About ``sample_documents`` documents, those with the smallest hashes of their ids, take part
     as weakly labelled text. Examples with a null subject or text teach nothing.
     """
     usable = examples.filter("subject is not null and text is not null")
@@ -266,7 +266,7 @@ def train_areas(
     model = _fit(weak, areas, parts, steps, rate, settle=not refine)
     if not refine:
         return model
-    sample = documents.select(id_col, text_col).filter(F.col(text_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample_documents)
+    sample = hash_sample(documents.select(id_col, text_col).filter(F.col(text_col).isNotNull()), id_col, sample_documents)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def clear(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
