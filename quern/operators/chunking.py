@@ -34,28 +34,36 @@ def chunk_fallback(texts: DataFrame, path: str, text: str, size: int = 50, overl
     """``path, start_line, end_line, start_byte, end_byte, content_hash``: windows with byte offsets.
 
     Lines are split at ``\\n`` (a final break opens a line). A text of at most ``size`` lines is one
-    chunk with the whole content and offsets 0. Offsets come from one prefix sum per text.
+    chunk with the whole content and offsets 0. Offsets are prefix sums of the bytes between window
+    starts, so their cost grows with the number of windows, not of lines. Null and empty texts have
+    no chunks.
     """
+    stride = max(1, size - overlap)
     lines = F.split(text, "\n")
     base = texts.filter(F.length(text) > 0).select(F.col(path).alias("path"), F.col(text).alias("__t"), lines.alias("__l"), F.size(lines).alias("__n"))
-    base = base.withColumn("__o", F.when(F.col("__n") > size, _offsets("__l")))
-    windows = base.select("*", F.explode(window_starts(F.col("__n"), size, overlap)).alias("__s"))
+    base = base.withColumn("__w", window_starts(F.col("__n"), size, overlap))
+    between = F.transform("__w", lambda s: (F.octet_length(F.array_join(F.slice("__l", s + 1, stride), "\n")) + 1).cast("bigint"))
+    sums = F.aggregate(between, F.array(F.lit(0).cast("bigint")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    windows = base.withColumn("__o", sums).select("*", F.posexplode("__w").alias("__i", "__s"))
     stop = F.least(F.col("__s") + size, F.col("__n"))
     whole = F.col("__n") <= size
-    content = F.when(whole, F.col("__t")).otherwise(F.array_join(F.slice("__l", F.col("__s") + 1, stop - F.col("__s")), "\n"))
-    return windows.select(
+    cut = windows.select(
         "path",
         (F.col("__s") + 1).cast("int").alias("start_line"),
         stop.cast("int").alias("end_line"),
-        F.when(whole, F.lit(0)).otherwise(F.element_at("__o", F.col("__s") + 1)).cast("bigint").alias("start_byte"),
-        F.when(whole, F.lit(0)).otherwise(F.element_at("__o", stop + 1) - 1).cast("bigint").alias("end_byte"),
-        content_hash(content).alias("content_hash"),
+        whole.alias("__whole"),
+        F.element_at("__o", F.col("__i") + 1).alias("__at"),
+        F.when(whole, F.col("__t")).otherwise(F.array_join(F.slice("__l", F.col("__s") + 1, stop - F.col("__s")), "\n")).alias("__c"),
+    )
+    zero = F.lit(0).cast("bigint")
+    return cut.select(
+        "path",
+        "start_line",
+        "end_line",
+        F.when(F.col("__whole"), zero).otherwise(F.col("__at")).alias("start_byte"),
+        F.when(F.col("__whole"), zero).otherwise(F.col("__at") + F.octet_length("__c")).alias("end_byte"),
+        content_hash(F.col("__c")).alias("content_hash"),
     )
-
-
-def _offsets(lines: str) -> Column:
-    """Byte offset of every line, and one past the end."""
-    return F.aggregate(lines, F.array(F.lit(0).cast("bigint")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.octet_length(x) + 1)))
 
 
 def split_region(start: Column, end: Column, size: int, overlap: int) -> Column:

@@ -20,8 +20,9 @@ def parent_of(path: Column) -> Column:
 def tree_nodes(files: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``repo_root, path, is_dir, depth, hash, size, files``: all files and directories of the trees.
 
-    The loop runs once per level of the deepest path; each level aggregates its children map-side
-    and joins nothing. Directory ``''`` is the root.
+    The loop runs once per level of the deepest path; each level groups its children and joins
+    nothing. The hash of a directory is defined over the ordered hashes of its direct children, so
+    one directory's children (path and hash only) meet in one group. Directory ``''`` is the root.
     """
     leaves = files.select("repo_root", "path", F.lit(False).alias("is_dir"), F.size(F.split("path", "/")).alias("depth"), "hash", F.col("size").cast("bigint").alias("size"), F.lit(1).cast("bigint").alias("files"))
     deepest = max_depth if max_depth is not None else leaves.agg(F.max("depth")).first()[0] or 0

@@ -9,6 +9,7 @@ from quern.functions import languages as LANG
 from quern.functions import text as X
 from quern.operators import chunking, search, store
 from quern.operators.increments import files_to_process
+from quern.operators.positions import positions
 from quern.queries.integrity import _CHANGES
 from quern.runtime import read_table
 
@@ -138,11 +139,8 @@ def gap_fill(spark, sf_dir):
 
 def batch_assign(spark, sf_dir):
     """Batches of 100 files per repository, in the order of their paths."""
-    from pyspark.sql import Window as W
-
-    files = read_table(spark, sf_dir, "files").select("repo_root", "path").distinct()
-    number = F.row_number().over(W.partitionBy("repo_root").orderBy("path"))
-    return files.select("repo_root", "path", F.floor((number - 1) / 100).cast("int").alias("batch"))
+    files = positions(read_table(spark, sf_dir, "files").select("repo_root", "path").distinct(), ["repo_root"], [F.col("path")])
+    return files.select("repo_root", "path", F.floor(F.col("before") / 100).cast("int").alias("batch"))
 
 
 QUERIES = {
