@@ -224,7 +224,7 @@ def leaked_passages(
 
     ``items`` holds (item, passage) rows of the held-out set; sentences that many passages share
     must be removed before (``strip_stock``). Null items, null or blank texts and passages, and passages of
-    fewer than ``run_words`` words, leak nowhere. Repeated texts each report their leaks. Other
+    fewer than ``run_words`` words, leak nowhere; texts without an id are left out. Repeated texts each report their leaks. Other
     columns of both inputs are ignored, so clashing names do no harm.
     """
     spark = texts.sparkSession
@@ -246,6 +246,6 @@ def leaked_passages(
                 found = [(ids[n], names[p], base + p, *run) for n, p, run in _scan(batch[text_col].tolist(), index, run_words, altered_share)]
                 yield pd.DataFrame(found, columns=[id_col, "item_id", "passage_no", "first_word", "words", "altered"])
 
-        part = texts.select(id_col, text_col).mapInPandas(scan, schema)
+        part = texts.select(id_col, text_col).filter(F.col(id_col).isNotNull()).mapInPandas(scan, schema)
         out = part if out is None else out.unionByName(part)
     return out

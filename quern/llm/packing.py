@@ -40,7 +40,7 @@ def _encoding(path: str):
 
 
 def token_counts(texts: DataFrame, id_col: str, text_col: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``id, tokens``: the length of every text in tokens; null and empty texts have 0."""
+    """``id, tokens``: the length of every text in tokens; null and empty texts have 0, null ids are left out."""
     kind = texts.schema[id_col].dataType.simpleString()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,7 +49,7 @@ def token_counts(texts: DataFrame, id_col: str, text_col: str, tokenizer: str =
             sizes = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch[text_col]]
             yield pd.DataFrame({id_col: batch[id_col], "tokens": np.array(sizes, np.int64)})
 
-    return texts.select(id_col, text_col).mapInPandas(count, f"{id_col} {kind}, tokens bigint")
+    return texts.select(id_col, text_col).filter(F.col(id_col).isNotNull()).mapInPandas(count, f"{id_col} {kind}, tokens bigint")
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:

@@ -19,6 +19,7 @@ from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Words that name a secret wherever they stand in a key.
 _SECRET_WORDS = {"password", "passwd", "passphrase", "passwort", "kennwort", "pwd", "pw", "pass", "passe", "clave", "contrasena", "contraseña", "secret", "secrets", "credential", "credentials", "apikey", "privatekey", "accesskey", "authkey", "authtoken", "accesstoken", "psk"}
@@ -29,8 +30,8 @@ _TOKEN_OF = {"auth", "access", "api", "bot", "private", "refresh", "bearer", "oa
 _SETTING = {"id", "name", "names", "ttl", "length", "len", "min", "max", "header", "path", "file", "files", "filename", "url", "uri", "endpoint", "ref", "hash", "digest", "count", "type", "kind", "version", "expiry", "expires", "expiration", "age", "days", "policy", "timeout", "prefix", "suffix", "env", "arn", "region", "location", "dir", "enabled", "required", "rotation", "public", "pub", "size", "format", "field", "column", "index", "store", "manager", "provider", "source", "mode", "hint", "label", "prompt", "regex", "pattern", "rules", "limit", "scope", "user", "username"}
 _PROVIDER = re.compile(
     r"(?<![A-Za-z0-9_\-])(?:"
-    r"gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|glpat-[\w\-]{18,}|gl(?:dt|rt|ptt|cbt)-[\w\-]{18,}|xox[abeprs]-[A-Za-z0-9\-]{10,}|xapp-[A-Za-z0-9\-]{20,}"
-    r"|(?:sk|rk|pk)_live_[A-Za-z0-9]{16,}|(?:sk|pk|rk)-(?:[a-z]{2,8}-){0,2}[A-Za-z0-9]{24,}|dop_v1_[A-Za-z0-9]{16,}|npm_[A-Za-z0-9]{30,}|pypi-[\w\-]{30,}|hf_[A-Za-z0-9]{30,}|shp(?:at|ss|ca|pa)_[A-Fa-f0-9]{30,}"
+    r"gh[pousr]_[A-Za-z0-9]{18,}|github_pat_\w{20,}|glpat-[\w\-]{18,}|gl(?:dt|rt|ptt|cbt)-[\w\-]{18,}|xox[abeprs]-[A-Za-z0-9\-]{10,}|xapp-[A-Za-z0-9\-]{20,}"
+    r"|(?:sk|rk|pk)_live_[A-Za-z0-9]{16,}|(?:sk|pk|rk)-(?:[a-z]{2,8}-){0,2}[A-Za-z0-9]{18,}|dop_v1_[A-Za-z0-9]{16,}|npm_[A-Za-z0-9]{18,}|pypi-[\w\-]{20,}|hf_[A-Za-z0-9]{20,}|shp(?:at|ss|ca|pa)_[A-Fa-f0-9]{30,}"
     r"|AIza[\w\-]{35}|ya29\.[\w\-]{20,}|SG\.[\w\-]{20,}\.[\w\-]{20,}|hv[sb]\.[\w\-]{20,}|dckr_pat_[\w\-]{20,}|key-[0-9a-f]{32}"
     r")(?![A-Za-z0-9_\-])"
 )
@@ -44,12 +45,15 @@ _OPTION = re.compile(r"(?i)(?<![\w\-])--?(?:password|passwd|pass|pwd|secret|toke
 _SHORT = re.compile(r"(?<![\w\-])(?:mysql\w*|mariadb|sshpass|psql|redis-cli|mongo\w*|7z|zip|unzip|ldapsearch|smbclient)\b[^\n|;]*?\s-(?:p|a|w|P)\s?[\"']?([^\s\"'\-][^\s\"']{5,})")
 _USER_OPTION = re.compile(r"(?<![\w\-])(?:curl|wget|http)\b[^\n|;]*?\s(?:-u|--user)[\s=][\"']?([^\s:\"']+):([^\s\"']+)")
 _PROSE = re.compile(r"(?i)\b(?:log-?in|creds?|credentials?|passw(?:or)?[dt]|kennwort|clave|secret)\b[^\n:=>]{0,40}?(?::|=>|->|=| is )\s*(?:[\w.\-]+\s*[/ ,]\s*)?[\"'`]?([^\s\"'`,]{8,})")
+#: A comment that ends in an account and its password.
+_PAIR = re.compile(r"""^[ \t]*(?:\#|//|<!--|--|;|/?\*)[^\n]*?(?::|->|=>|\b(?:is|ist|est|es|are|sind|lautet))[ \t]+([a-z][\w.\-]*)[ \t]*[ \t/:][ \t]*([^\s(\[<{"'`/][^\s"'`]{5,}?)[ \t]*(?:-->|\*/)?[ \t\r]*$""", re.M)
+_ACCOUNT = re.compile(r"(?:ops|deploy|admin|root|app|etl|reader|writer|backup|service|guest|user)\w*|svc\w*|\w+_\w+")
 _BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"[A-Za-z0-9+/]{24,}")
 
 _ENTRY = re.compile(
-    r"""(?P<q>["'`]?)(?P<key>[A-Za-z_][\w.\-]*)(?P=q)\]?\s*(?:(?::\s*&?[\w.<>\[\]]+\s*)?(?::=|=>|=)|:|,(?=\s*["'`]))\s*(?P<value>"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?|`[^`\n]*`?|[^\s"'`#;,<>{}()\[\]][^\s"'`;,<>]*)?"""
+    r"""(?P<q>["'`]?)(?P<key>[A-Za-z_][\w.\-]*)(?P=q)\]?\s*(?:(?::\s*&?[\w.<>\[\]]+\s*(?==\s*["'`]))?(?::=|=>|=)|:|,(?=\s*["'`]))\s*(?P<value>"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?|`[^`\n]*`?|[^\s"'`#;,<>{}()\[\]][^\s"'`;,<>]*)?"""
 )
 _TAG = re.compile(r"<(?P<key>[A-Za-z_][\w.\-]*)>(?P<value>[^<\n]+)</(?P=key)>")
 _PROPERTY = re.compile(r"""\b(?:name|key|id)\s*=\s*["'](?P<key>[^"'\n]+)["'][^<>\n]*?\bvalue\s*=\s*(?P<value>"[^"\n]*"|'[^'\n]*')""")
@@ -151,6 +155,11 @@ def password_like(value: str) -> bool:
     return len(value) >= 8 and re.search(r"\d", value) is not None and re.search(r"[A-Za-z]{2}", value) is not None and re.search(r"[A-Z!#$%&*+?@^~_\-]", value) is not None and literal(value)
 
 
+def short_password(value: str) -> bool:
+    """At least six characters with letters and a digit, where a password is expected."""
+    return len(value) >= 6 and re.search(r"\d", value) is not None and re.search(r"[A-Za-z]{2}", value) is not None and literal(value)
+
+
 def mixed_case(value: str) -> bool:
     """A long run of letters whose case changes often, as in encoded text without digits."""
     return len(value) >= 12 and re.fullmatch(r"[\w+/=\-]+", value) is not None and len(re.findall(r"[a-z][A-Z]|[A-Z]{2}[a-z]", value)) >= 4 and literal(value)
@@ -205,14 +214,21 @@ def _blocks(text: str) -> Iterator[tuple[int, int, int]]:
         at = end if end > m.end() else m.end()
 
 
+def _credential_pair(m: re.Match) -> bool:
+    value = m[2]
+    return (short_password(value) and re.search(r"[A-Z!#$%&*+?@^~_\-]", value) is not None) if _ACCOUNT.fullmatch(m[1]) else password_like(value) and random_like(value)
+
+
 def find_credentials(content: str | None, path: str | None = None) -> list[Finding]:
     """All credentials of a text, in order; null and empty texts have none."""
     if not content:
         return []
     low = content.lower()
-    if not any(h in low for h in _HINTS):
-        return []
+    hinted = any(h in low for h in _HINTS)
     text = content.encode("utf-8", "surrogatepass").decode("latin-1")  # one character per byte
+    pairs = [m for m in _PAIR.finditer(text) if _credential_pair(m)]
+    if not hinted and not pairs:
+        return []
     source = (path or "").rsplit(".", 1)[-1].lower() in _SOURCE
     found: list[Finding] = []
     taken: list[tuple[int, int]] = []
@@ -226,6 +242,8 @@ def find_credentials(content: str | None, path: str | None = None) -> list[Findi
         for begin, start, end in _blocks(text):
             taken.append((begin, end))
             found.append(Finding(start, end, text.count("\n", 0, begin) + 1, "private key", ""))
+    for m in pairs:
+        add(m.start(2), m.end(2), "credential in text", "")
     offset, named, opened = 0, "", ""
     for line in text.split("\n"):
         bare = line.strip()
@@ -270,7 +288,7 @@ def _line(text: str, line: str, offset: int, source: bool, named: str, add) -> N
             if good and (pattern is _HEADER or scheme == "basic" or re.search(r"(?i)auth|header|curl|bearer", line)):
                 add(offset + m.start(2), offset + m.end(2), "authorization", "")
     for m in _OPTION.finditer(line):
-        if password_like(m[1]) or random_like(m[1], 12):
+        if short_password(m[1]) or random_like(m[1], 12):
             add(offset + m.start(1), offset + m.end(1), "command option", "")
     for m in _SHORT.finditer(line):
         if literal(m[1]) and re.search(r"\d", m[1]) and re.search("[A-Za-z]", m[1]):
@@ -310,7 +328,7 @@ def credentials(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "co
 
     ``redacted`` is the whole content without any of its credentials, on the first row of each
     chunk and null on its others. Null and empty contents give no rows; equal chunks report each;
-    null paths are treated as configuration. One map over the chunks, nothing is shuffled.
+    null paths are treated as configuration, rows without an id cannot be reported and are left out. One map over the chunks, nothing is shuffled.
     """
     kind = chunks.schema[id_col].dataType.simpleString()
 
@@ -323,4 +341,4 @@ def credentials(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "co
                 rows += [(key, f.line, f.kind, f.key, f.start, f.end, None if n else clean) for n, f in enumerate(found)]
             yield pd.DataFrame(rows, columns=[id_col, "line_no", "kind", "key", "start_byte", "end_byte", "redacted"])
 
-    return chunks.select(id_col, text_col, path_col).mapInPandas(find, f"{id_col} {kind}, line_no int, kind string, key string, start_byte int, end_byte int, redacted string")
+    return chunks.select(id_col, text_col, path_col).filter(F.col(id_col).isNotNull()).mapInPandas(find, f"{id_col} {kind}, line_no int, kind string, key string, start_byte int, end_byte int, redacted string")

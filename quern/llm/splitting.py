@@ -191,13 +191,14 @@ def split_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     exceeds the limits of its language.
 
     ``chunks`` needs ``chunk_id, start_line, content, language``; start_line (null: 1) places the
-    pieces in the file, the stored end_line is not used. Null and empty content exceeds nothing.
+    pieces in the file, the stored end_line is not used. Null and empty content exceeds nothing;
+    rows without an id are left out.
     Equal chunks are split each. The limits are tested in the JVM, only oversized chunks reach
     Python; there is no shuffle, so no key can be hot.
     """
     kind = chunks.schema["chunk_id"].dataType.simpleString()
     sized = with_limits(chunks.select("chunk_id", F.coalesce("start_line", F.lit(1)).alias("start_line"), "content", "language"), limits)
-    over = sized.filter((count_lines(F.col("content")) > F.col("max_lines")) | (F.octet_length("content") > F.col("max_bytes")))
+    over = sized.filter("chunk_id is not null").filter((count_lines(F.col("content")) > F.col("max_lines")) | (F.octet_length("content") > F.col("max_bytes")))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = lambda x: None if pd.isna(x) else int(x)

@@ -288,7 +288,8 @@ def document_areas(documents: DataFrame, model: Model, id_col: str = "doc_id", t
 
     Texts in which no sentence does get the area with the highest summed score over all their
     words, so every document has at least one area; ties go to the first name. Null and empty texts
-    score like a text without words (the biases). Repeated documents are scored each.
+    score like a text without words (the biases). Repeated documents are scored each,
+    documents without an id are left out.
     """
     kind = documents.schema[id_col].dataType.simpleString()
     sent = documents.sparkSession.sparkContext.broadcast(model)
@@ -307,7 +308,7 @@ def document_areas(documents: DataFrame, model: Model, id_col: str = "doc_id", t
                 rows += [(key, model.areas[c], float(share[c]), any_area) for c in chosen]
             yield pd.DataFrame(rows, columns=[id_col, "subject", "share", "sentences"])
 
-    return documents.select(id_col, text_col).mapInPandas(score, f"{id_col} {kind}, subject string, share double, sentences int")
+    return documents.select(id_col, text_col).filter(F.col(id_col).isNotNull()).mapInPandas(score, f"{id_col} {kind}, subject string, share double, sentences int")
 
 
 def subjects_of(spark: SparkSession, documents: DataFrame, examples: DataFrame) -> DataFrame:

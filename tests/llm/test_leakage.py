@@ -29,7 +29,7 @@ def test_altered_dress(spark):
     quoted = "\n> ".join(" ".join(w[i : i + 6]) for i in range(0, len(w), 6))
     rows = [
         (1, f"Intro. {PASSAGE.upper()}! end"), (2, f"# **{quoted}**"), (3, PASSAGE.replace("the", "&quot;the&quot;").replace(" ", "  ")), (4, f"x {altered} y"),
-        (5, " ".join(w[:11])), (6, " ".join("other" if n % 5 == 0 else x for n, x in enumerate(w))), (7, None), (8, ""), (9, "filler words " * 20000 + " ".join(w[2:16]) + " more words" * 1000), (10, " ".join(w[5:17])), (10, " ".join(w[5:17])),
+        (5, " ".join(w[:11])), (6, " ".join("other" if n % 5 == 0 else x for n, x in enumerate(w))), (7, None), (8, ""), (9, "filler words " * 20000 + " ".join(w[2:16]) + " more words" * 1000), (10, " ".join(w[5:17])), (10, " ".join(w[5:17])), (None, PASSAGE),
     ]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     items = spark.createDataFrame([("i1", PASSAGE), ("i1", PASSAGE), ("i2", "too short to leak"), ("i3", None), (None, PASSAGE + " twice over")], "item_id string, passage string")

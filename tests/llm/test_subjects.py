@@ -18,7 +18,7 @@ def test_held_out_accuracy(spark, small):
 
 def test_every_document_has_an_area(spark):
     examples = spark.createDataFrame([("sky", "The telescope shows a comet near the star."), ("sky", "Each galaxy has one telescope and a star."), ("law", "The judge heard the verdict in court."), ("law", "A verdict of the court binds the judge."), (None, "text"), ("law", None)] * 6, "subject string, text string")
-    docs = spark.createDataFrame([(1, "The comet passed the telescope and the star."), (2, "The judge read the verdict in court. A comet came near the star."), (3, None), (4, ""), (5, "x = 1;"), (6, "The judge of the court. " * 3000)], "doc_id bigint, text string")
+    docs = spark.createDataFrame([(1, "The comet passed the telescope and the star."), (2, "The judge read the verdict in court. A comet came near the star."), (3, None), (4, ""), (5, "x = 1;"), (6, "The judge of the court. " * 3000), (None, "The judge.")], "doc_id bigint, text string")
     got = document_areas(docs, train_areas(examples, docs, parts=2, steps=40)).toPandas()
     assert set(got.doc_id) == {1, 2, 3, 4, 5, 6} and not got.duplicated(["doc_id", "subject"]).any()
     assert set(got[got.doc_id == 2].subject) == {"sky", "law"}
