@@ -37,9 +37,8 @@ class IvfIndex:
         q = np.asarray(query, np.float64)
         q = q / (np.linalg.norm(q) or 1)
         near = np.argsort(-(self.centroids @ q) / np.maximum(np.linalg.norm(self.centroids, axis=1), 1e-12))[:probes]
-        one = self.lists.sparkSession.createDataFrame([([float(x) for x in query],)], "q array<float>")
         rows = self.lists.filter(F.col("list").isin([int(n) for n in near]))
-        return knn(rows, one, self.id_col, self.vector_col, k, metric, where)
+        return knn(rows, [float(x) for x in query], self.id_col, self.vector_col, k, metric, where)
 
 
 def choose(vectors: DataFrame, id_col: str, vector_col: str, exact_below: int = 50_000, **options):

@@ -8,18 +8,24 @@ from pyspark.sql import functions as F
 from quern.functions import vectors as V
 
 
-def knn(vectors: DataFrame, query: DataFrame, id_col: str, vector_col: str, k: int = 10, metric: str = "cosine", where: Column | None = None) -> DataFrame:
-    """``id, distance, score``: the ``k`` nearest rows to the one vector of ``query`` (column ``q``).
+def knn(vectors: DataFrame, query: DataFrame | list[float], id_col: str, vector_col: str, k: int = 10, metric: str = "cosine", where: Column | None = None) -> DataFrame:
+    """``id, distance, score``: the ``k`` nearest rows to a vector, or to the one row of a DataFrame (column ``q``).
 
-    Distances are rounded to 6 digits and ties go to the smaller id, so the order is total. The
-    query is one row and broadcast; the plan ends in TakeOrderedAndProject, no full sort. A filter
-    is applied before the search. Null vectors are skipped; ``k`` below 1 gives no rows.
+    Distances are rounded to 6 digits and ties go to the smaller id, so the order is total. A list
+    becomes a literal of the scan, a DataFrame is one row and broadcast; either plan ends in
+    TakeOrderedAndProject, no full sort. A filter is applied before the search. Null vectors are
+    skipped; ``k`` below 1 and an empty query give no rows.
     """
-    rows = vectors if where is None else vectors.filter(where)
-    scored = rows.filter(F.col(vector_col).isNotNull()).crossJoin(F.broadcast(query.select(F.col("q").alias("__q")))).select(F.col(id_col).alias("id"), F.round(V.distance(F.col(vector_col), F.col("__q"), metric), 6).alias("distance"))
+    rows = (vectors if where is None else vectors.filter(where)).filter(F.col(vector_col).isNotNull())
+    if isinstance(query, DataFrame):
+        rows = rows.crossJoin(F.broadcast(query.select(F.col("q").alias("__q"))))  # one row
+    else:
+        rows = rows.withColumn("__q", F.lit([float(x) for x in query])) if query else rows.limit(0).withColumn("__q", F.col(vector_col))
+    scored = rows.select(F.col(id_col).alias("id"), F.round(V.distance(F.col(vector_col), F.col("__q"), metric), 6).alias("distance"))
     return scored.orderBy("distance", "id").limit(max(k, 0)).select("id", "distance", F.round(V.distance_to_score(F.col("distance"), metric), 6).alias("score"))
 
 
-def query_vector(vectors: DataFrame, id_col: str, vector_col: str, value) -> DataFrame:
-    """The vector of one row as a query."""
-    return vectors.filter(F.col(id_col) == F.lit(value)).limit(1).select(F.col(vector_col).alias("q"))
+def query_vector(vectors: DataFrame, id_col: str, vector_col: str, value) -> list[float]:
+    """The vector of one row, fetched to be the literal of a search; empty if there is none."""
+    row = vectors.filter((F.col(id_col) == F.lit(value)) & F.col(vector_col).isNotNull()).select(vector_col).first()
+    return [float(x) for x in row[0]] if row else []

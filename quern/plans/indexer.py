@@ -99,8 +99,7 @@ class Indexer:
         cached, places = self.cache.read(), self.locations.read()
         if cached is None or places is None:
             return None
-        q = self.spark.createDataFrame([([float(x) for x in self.embedder.embed([text])[0]],)], "q array<float>")
-        near = knn(cached, q, "content_hash", "embedding", limit if limit > 0 else 10).filter("score > 0")
+        near = knn(cached, self.embedder.embed([text])[0].tolist(), "content_hash", "embedding", limit if limit > 0 else 10).filter("score > 0")
         return near.withColumnRenamed("id", "content_hash").join(places, "content_hash").select("path", "start_line", "end_line", "score", "node_name").orderBy(F.col("score").desc(), "path", "start_line")
 
 

@@ -168,7 +168,7 @@ def rerank(spark, sf_dir):
 
     fused = fusion.rrf(_lists(spark, sf_dir), WEIGHTS)
     placed = fused.select("id", "rrf_score", F.row_number().over(W.orderBy(F.col("rrf_score").desc(), F.round("score", 6).desc(), "id")).alias("place"))
-    scores = _embeddings(spark, sf_dir).crossJoin(F.broadcast(_query(spark, sf_dir, 5))).select(F.col("vec_id").alias("id"), F.round(V.cosine(F.col("embedding"), F.col("q")), 6).alias("rerank_score"))
+    scores = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"), F.round(V.cosine(F.col("embedding"), F.lit(_query(spark, sf_dir, 5))), 6).alias("rerank_score"))
     return fusion.rerank(placed, scores, 30, -0.05)
 
 

@@ -1,8 +1,8 @@
 """Immutable table versions with deletion vectors, and consumers that process each change once.
 
 A table is a folder of immutable Parquet files and of manifests ``_manifests/v<number>.json``. A
-manifest lists the data files of its version and, per file, a deletion vector (Parquet rows of
-row positions that no longer count). A commit writes a manifest that must not exist yet, so of two
+manifest lists the data files of its version and, per file, its deletion vector (a folder of Parquet
+rows of positions that no longer count). A commit writes a manifest that must not exist yet, so of two
 concurrent commits one fails and nothing is half visible. All file access goes through Hadoop's
 FileSystem, so any shared store works.
 
@@ -114,8 +114,9 @@ class VersionedTable:
         files = dict(old["files"])
         if touched:
             before = self._deleted({f: v for f, v in files.items() if f.rsplit("/", 1)[-1] in touched})
-            vectors = self._write((hits if before is None else hits.unionByName(before.select("_file", "_row"))).coalesce(1), "deleted")
-            files = {f: vectors[0] if f.rsplit("/", 1)[-1] in touched else v for f, v in files.items()}
+            folder = f"{self.root}/deleted/{uuid.uuid4().hex}"
+            (hits if before is None else hits.unionByName(before.select("_file", "_row"))).write.parquet(folder)
+            files = {f: folder if f.rsplit("/", 1)[-1] in touched else v for f, v in files.items()}
         return self._commit(base + 1, {"files": files, "meta": old["meta"] | (meta or {})})
 
     def rewrite(self, df: DataFrame, meta: dict | None = None) -> int:
