@@ -97,3 +97,13 @@ def hash_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
     if n <= rows:
         return df
     return df.filter(F.pmod(F.xxhash64(id_col), F.lit(space)) < int(space * rows / n))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as the cluster has cores.
+
+    A scan of few files would leave Python work to a few tasks; where it has partitions enough, as
+    any large input has, nothing is added to the plan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
