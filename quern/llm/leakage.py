@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.runtime import spread
+
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
 _NUMBERED = re.compile(r"(?m)^[^\w\n]*\d{1,5}[.:)|\]][ \t]+(?=\S)")
@@ -234,7 +236,7 @@ def leaked_passages(
     kept = [(item, w) for item, passage in rows if len(w := words_of(passage)) >= run_words]
     clean = clean_words(run_words, altered_share)
     schema = f"{id_col} {kind}, item_id string, {SCHEMA}"
-    out = None
+    source, out = spread(texts.select(id_col, text_col).filter(F.col(id_col).isNotNull())), None
     for start in range(0, max(1, len(kept)), block_passages):
         block = kept[start : start + block_passages]
         sent = spark.sparkContext.broadcast((PassageIndex([w for _, w in block], clean), [i for i, _ in block], start))
@@ -246,6 +248,6 @@ def leaked_passages(
                 found = [(ids[n], names[p], base + p, *run) for n, p, run in _scan(batch[text_col].tolist(), index, run_words, altered_share)]
                 yield pd.DataFrame(found, columns=[id_col, "item_id", "passage_no", "first_word", "words", "altered"])
 
-        part = texts.select(id_col, text_col).filter(F.col(id_col).isNotNull()).mapInPandas(scan, schema)
+        part = source.mapInPandas(scan, schema)
         out = part if out is None else out.unionByName(part)
     return out

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.runtime import cut_lineage
+from quern.runtime import cut_lineage, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that belongs to the public byte-level BPE vocabulary.
@@ -49,7 +49,7 @@ def token_counts(texts: DataFrame, id_col: str, text_col: str, tokenizer: str =
             sizes = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch[text_col]]
             yield pd.DataFrame({id_col: batch[id_col], "tokens": np.array(sizes, np.int64)})
 
-    return texts.select(id_col, text_col).filter(F.col(id_col).isNotNull()).mapInPandas(count, f"{id_col} {kind}, tokens bigint")
+    return spread(texts.select(id_col, text_col).filter(F.col(id_col).isNotNull())).mapInPandas(count, f"{id_col} {kind}, tokens bigint")
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.runtime import spread
+
 #: Words that name a secret wherever they stand in a key.
 _SECRET_WORDS = {"password", "passwd", "passphrase", "passwort", "kennwort", "pwd", "pw", "pass", "passe", "clave", "contrasena", "contraseña", "secret", "secrets", "credential", "credentials", "apikey", "privatekey", "accesskey", "authkey", "authtoken", "accesstoken", "psk"}
 #: Words that make a following "key" a secret, and a following "token" one.
@@ -341,4 +343,4 @@ def credentials(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "co
                 rows += [(key, f.line, f.kind, f.key, f.start, f.end, None if n else clean) for n, f in enumerate(found)]
             yield pd.DataFrame(rows, columns=[id_col, "line_no", "kind", "key", "start_byte", "end_byte", "redacted"])
 
-    return chunks.select(id_col, text_col, path_col).filter(F.col(id_col).isNotNull()).mapInPandas(find, f"{id_col} {kind}, line_no int, kind string, key string, start_byte int, end_byte int, redacted string")
+    return spread(chunks.select(id_col, text_col, path_col).filter(F.col(id_col).isNotNull())).mapInPandas(find, f"{id_col} {kind}, line_no int, kind string, key string, start_byte int, end_byte int, redacted string")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.runtime import broadcast_if_small
+from quern.runtime import broadcast_if_small, spread
 
 _START = re.compile(
     r"\s*(?:#{1,6} |(?:export |pub |public |private |protected |static |async |final |abstract )*(?:func|def|class|fn|impl|struct|enum|trait|interface|type|function|module|namespace)\b|@\w|\[[\w.\-\" ]+\]\s*$|<\w)"
@@ -197,7 +197,7 @@ def split_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     Python; there is no shuffle, so no key can be hot.
     """
     kind = chunks.schema["chunk_id"].dataType.simpleString()
-    sized = with_limits(chunks.select("chunk_id", F.coalesce("start_line", F.lit(1)).alias("start_line"), "content", "language"), limits)
+    sized = with_limits(spread(chunks.select("chunk_id", F.coalesce("start_line", F.lit(1)).alias("start_line"), "content", "language")), limits)
     over = sized.filter("chunk_id is not null").filter((count_lines(F.col("content")) > F.col("max_lines")) | (F.octet_length("content") > F.col("max_bytes")))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.runtime import cut_lineage, hash_sample
+from quern.runtime import cut_lineage, hash_sample, spread
 
 BUCKETS, DIM = 1 << 15, 16
 _FENCE = re.compile(r"(?ms)^[^\w\n]*```.*?(?:^[^\w\n]*```|\Z)")
@@ -308,7 +308,7 @@ def document_areas(documents: DataFrame, model: Model, id_col: str = "doc_id", t
                 rows += [(key, model.areas[c], float(share[c]), any_area) for c in chosen]
             yield pd.DataFrame(rows, columns=[id_col, "subject", "share", "sentences"])
 
-    return documents.select(id_col, text_col).filter(F.col(id_col).isNotNull()).mapInPandas(score, f"{id_col} {kind}, subject string, share double, sentences int")
+    return spread(documents.select(id_col, text_col).filter(F.col(id_col).isNotNull())).mapInPandas(score, f"{id_col} {kind}, subject string, share double, sentences int")
 
 
 def subjects_of(spark: SparkSession, documents: DataFrame, examples: DataFrame) -> DataFrame:
