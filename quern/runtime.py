@@ -103,7 +103,9 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as the cluster has cores.
 
     A scan of few files would leave Python work to a few tasks; where it has partitions enough, as
-    any large input has, nothing is added to the plan.
+    any large input has, nothing is added to the plan, nor where it was shuffled anyway.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
