@@ -30,21 +30,40 @@ _KEY_OF = {"api", "secret", "private", "access", "signing", "sign", "encryption"
 _TOKEN_OF = {"auth", "access", "api", "bot", "private", "refresh", "bearer", "oauth", "github", "gitlab", "slack", "npm", "vault", "deploy", "personal", "security", "app", "service", "registry", "csrf", "jwt", "webhook"}
 #: Words that, at the end of a key, make it a setting of a secret.
 _SETTING = {"id", "name", "names", "ttl", "length", "len", "min", "max", "header", "path", "file", "files", "filename", "url", "uri", "endpoint", "ref", "hash", "digest", "count", "type", "kind", "version", "expiry", "expires", "expiration", "age", "days", "policy", "timeout", "prefix", "suffix", "env", "arn", "region", "location", "dir", "enabled", "required", "rotation", "public", "pub", "size", "format", "field", "column", "index", "store", "manager", "provider", "source", "mode", "hint", "label", "prompt", "regex", "pattern", "rules", "limit", "scope", "user", "username"}
-_PROVIDER = re.compile(
-    r"(?<![A-Za-z0-9_\-])(?:"
-    r"gh[pousr]_[A-Za-z0-9]{18,}|github_pat_\w{20,}|glpat-[\w\-]{18,}|gl(?:dt|rt|ptt|cbt)-[\w\-]{18,}|xox[abeprs]-[A-Za-z0-9\-]{10,}|xapp-[A-Za-z0-9\-]{20,}"
-    r"|(?:sk|rk|pk)_live_[A-Za-z0-9]{16,}|(?:sk|pk|rk)-(?:[a-z]{2,8}-){0,2}[A-Za-z0-9]{18,}|dop_v1_[A-Za-z0-9]{16,}|npm_[A-Za-z0-9]{18,}|pypi-[\w\-]{20,}|hf_[A-Za-z0-9]{20,}|shp(?:at|ss|ca|pa)_[A-Fa-f0-9]{30,}"
-    r"|AIza[\w\-]{35}|ya29\.[\w\-]{20,}|SG\.[\w\-]{20,}\.[\w\-]{20,}|hv[sb]\.[\w\-]{20,}|dckr_pat_[\w\-]{20,}|key-[0-9a-f]{32}"
-    r")(?![A-Za-z0-9_\-])"
-)
+#: Shapes of provider tokens, each with the prefixes it can begin with.
+_TOKENS = {
+    r"gh[pousr]_[A-Za-z0-9]{18,}": "ghp_ gho_ ghu_ ghs_ ghr_",
+    r"github_pat_\w{20,}": "github_pat_",
+    r"glpat-[\w\-]{18,}": "glpat-",
+    r"gl(?:dt|rt|ptt|cbt)-[\w\-]{18,}": "gldt- glrt- glptt- glcbt-",
+    r"xox[abeprs]-[A-Za-z0-9\-]{10,}": "xoxa- xoxb- xoxe- xoxp- xoxr- xoxs-",
+    r"xapp-[A-Za-z0-9\-]{20,}": "xapp-",
+    r"(?:sk|rk|pk)_live_[A-Za-z0-9]{16,}": "sk_live_ rk_live_ pk_live_",
+    r"(?:sk|pk|rk)-(?:[a-z]{2,8}-){0,2}[A-Za-z0-9]{18,}": "sk- pk- rk-",
+    r"dop_v1_[A-Za-z0-9]{16,}": "dop_v1_",
+    r"npm_[A-Za-z0-9]{18,}": "npm_",
+    r"pypi-[\w\-]{20,}": "pypi-",
+    r"hf_[A-Za-z0-9]{20,}": "hf_",
+    r"shp(?:at|ss|ca|pa)_[A-Fa-f0-9]{30,}": "shpat_ shpss_ shpca_ shppa_",
+    r"AIza[\w\-]{35}": "AIza",
+    r"ya29\.[\w\-]{20,}": "ya29.",
+    r"SG\.[\w\-]{20,}\.[\w\-]{20,}": "SG.",
+    r"hv[sb]\.[\w\-]{20,}": "hvs. hvb.",
+    r"dckr_pat_[\w\-]{20,}": "dckr_pat_",
+    r"key-[0-9a-f]{32}": "key-",
+}
+_PROVIDER = re.compile(r"(?<![A-Za-z0-9_\-])(?:" + "|".join(_TOKENS) + r")(?![A-Za-z0-9_\-])")
 _ACCESS_ID = re.compile(r"(?<![A-Za-z0-9/+_\-])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9/+=])")
 _SIGNED = re.compile(r"(?<![\w\-.])eyJ[\w\-]{8,}\.eyJ[\w\-]{4,}\.[\w\-]{10,}")
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://([^\s/@:'\"<>`]*):([^\s/'\"<>`]+?)@(?=[\w\[])")
-_CONNECTION = re.compile(r"(?i)(?:^|[;\s\"'>=])(?:password|pwd|sharedaccesskey|accountkey|sharedsecret|sharedaccesssignature)\s*=\s*([^;\"'<>\s]+)")
+#: Parts of connection strings that hold a secret, and commands with short options that do.
+_PARTS = ("password", "pwd", "sharedaccesskey", "accountkey", "sharedsecret", "sharedaccesssignature")
+_COMMANDS = ("mysql", "mariadb", "sshpass", "psql", "redis-cli", "mongo", "7z", "zip", "unzip", "ldapsearch", "smbclient")
+_CONNECTION = re.compile(r"(?i)(?:^|[;\s\"'>=])(?:" + "|".join(_PARTS) + r")\s*=\s*([^;\"'<>\s]+)")
 _HEADER = re.compile(r"(?i)\b(?:authorization|x-api-key|x-auth-token|private-token|x-vault-token|proxy-authorization)\b[\"']?\]?\s*[:=,>]{1,2}\s*[\"'`]?(?:(basic|bearer|token|apikey)\s+)?([^\s\"'`<>,;]+)")
 _SCHEME = re.compile(r"(?i)[\"'`>\s=](basic|bearer|token)\s+([A-Za-z0-9+/_\-.=~]{12,})")
 _OPTION = re.compile(r"(?i)(?<![\w\-])--?(?:password|passwd|pass|pwd|secret|token|api[_\-]?key|access[_\-]?token|auth[_\-]?token|client[_\-]?secret|secret[_\-]?key)(?:\s*=\s*|\s+)[\"']?([^\s\"']+)")
-_SHORT = re.compile(r"(?<![\w\-])(?:mysql\w*|mariadb|sshpass|psql|redis-cli|mongo\w*|7z|zip|unzip|ldapsearch|smbclient)\b[^\n|;]*?\s-(?:p|a|w|P)\s?[\"']?([^\s\"'\-][^\s\"']{5,})")
+_SHORT = re.compile(r"(?<![\w\-])(?:" + "|".join(c + r"\w*" if c in ("mysql", "mongo") else c for c in _COMMANDS) + r")\b[^\n|;]*?\s-(?:p|a|w|P)\s?[\"']?([^\s\"'\-][^\s\"']{5,})")
 _USER_OPTION = re.compile(r"(?<![\w\-])(?:curl|wget|http)\b[^\n|;]*?\s(?:-u|--user)[\s=][\"']?([^\s:\"']+):([^\s\"']+)")
 _PROSE = re.compile(r"(?i)\b(?:log-?in|creds?|credentials?|passw(?:or)?[dt]|kennwort|clave|secret)\b[^\n:=>]{0,40}?(?::|=>|->|=| is )\s*(?:[\w.\-]+\s*[/ ,]\s*)?[\"'`]?([^\s\"'`,]{8,})")
 #: A comment that ends in an account and its password.
@@ -54,13 +73,14 @@ _BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"[A-Za-z0-9+/]{24,}")
 
+#: Keys may hold the second byte of ñ, which is no letter by itself.
 _ENTRY = re.compile(
-    r"""(?P<q>["'`]?)(?P<key>[A-Za-z_][\w.\-]*)(?P=q)\]?\s*(?:(?::\s*&?[\w.<>\[\]]+\s*(?==\s*["'`]))?(?::=|=>|=)|:|,(?=\s*["'`]))\s*(?P<value>"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?|`[^`\n]*`?|[^\s"'`#;,<>{}()\[\]][^\s"'`;,<>]*)?"""
+    r"""(?P<q>["'`]?)(?P<key>[A-Za-z_][\w.\-\xb1]*)(?P=q)\]?\s*(?:(?::\s*&?[\w.<>\[\]]+\s*(?==\s*["'`]))?(?::=|=>|=)|:|,(?=\s*["'`]))\s*(?P<value>"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?|`[^`\n]*`?|[^\s"'`#;,<>{}()\[\]][^\s"'`;,<>]*)?"""
 )
-_TAG = re.compile(r"<(?P<key>[A-Za-z_][\w.\-]*)>(?P<value>[^<\n]+)</(?P=key)>")
+_TAG = re.compile(r"<(?P<key>[A-Za-z_][\w.\-\xb1]*)>(?P<value>[^<\n]+)</(?P=key)>")
 _PROPERTY = re.compile(r"""\b(?:name|key|id)\s*=\s*["'](?P<key>[^"'\n]+)["'][^<>\n]*?\bvalue\s*=\s*(?P<value>"[^"\n]*"|'[^'\n]*')""")
-_NAMED = re.compile(r"""^[\s\-{"']*(?:name|key)["']?\s*[:=]\s*["']?(?P<key>[A-Za-z_][\w.\-]*)["']?,?\s*$""")
-_OPENED = re.compile(r"""(?P<q>["']?)(?P<key>[A-Za-z_][\w.\-]*)(?P=q)\]?\s*(?::\s*&?[\w.]+\s*)?(?::=|=|:)\s*(?:[|>][+\-]?\d?|\"\"\"|'''|`|\(|\\|["'])?\s*$""")
+_NAMED = re.compile(r"""^[\s\-{"']*(?:name|key)["']?\s*[:=]\s*["']?(?P<key>[A-Za-z_][\w.\-\xb1]*)["']?,?\s*$""")
+_OPENED = re.compile(r"""(?P<q>["']?)(?P<key>[A-Za-z_][\w.\-\xb1]*)(?P=q)\]?\s*(?::\s*&?[\w.]+\s*)?(?::=|=|:)\s*(?:[|>][+\-]?\d?|\"\"\"|'''|`|\(|\\|["'])?\s*$""")
 
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _HOLDER = re.compile(
@@ -75,9 +95,20 @@ _SETTING_VALUE = re.compile(
 )
 _UUID = re.compile(r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$")
 
-#: What a chunk must contain to be looked at more closely; cheaper than any of the patterns.
-_HINTS = tuple("pass pwd pw_ _pw pw= pw: secret token key cred auth clave kennwort contrase psk akia asia private ghp_ gho_ ghs_ ghu_ ghr_ github_pat glpat xox sk_ pk_ rk_ sk- pk- rk- dop_v1 npm_ pypi- hf_ shp aiza ya29 sg. hvs. dckr_ eyj :// bearer basic login mysql curl".split())
-_LINE_HINT = re.compile(r"(?i)pass|pwd|pw|secret|token|key|cred|auth|clave|kennwort|contrase|psk|akia|asia|private|gh[pousr]_|github_pat|glpat|xox|[srp]k[_\-]|dop_v1|npm_|pypi-|hf_|shp|aiza|ya29|sg\.|hvs\.|dckr_|eyj|://|bearer|basic|login|mysql|curl")
+
+
+def _least(marks: list[str]) -> tuple[str, ...]:
+    """The marks that contain no other one."""
+    return tuple(m for m in dict.fromkeys(marks) if not any(o != m and o in m for o in marks))
+
+
+#: One of these is in every line that a pattern or a key can accept; looked for in the chunk, then in
+#: its lines, before any of the patterns. The first are compared in lower case, the others as they are.
+_FOLDED = _least(
+    [w.encode().decode("latin-1").lower() for w in _SECRET_WORDS]
+    + ["key", "token", "cred", "login", "log-in", "passw", "://", "authorization", "basic", "bearer", "-u", *_PARTS, *_COMMANDS]
+)
+_EXACT = _least(["AKIA", "ASIA", "eyJ"] + " ".join(_TOKENS.values()).split())
 
 
 #: A line of code without any quote, comment or URL has no literal text.
@@ -100,7 +131,7 @@ def key_strength(key: str) -> int:
     Words are told apart by case, digits and separators; settings of secrets (their names, files,
     lengths, life times) are none.
     """
-    words = [w.lower() for w in _WORDS.findall(key)]
+    words = [w.lower() for w in _WORDS.findall(key.replace("\u00c3\u00b1", "n").replace("ñ", "n"))]  # also as two bytes
     if not words or words[-1] in _SETTING or "public" in words:
         return 0
     joined = "".join(words)
@@ -225,11 +256,11 @@ def find_credentials(content: str | None, path: str | None = None) -> list[Findi
     """All credentials of a text, in order; null and empty texts have none."""
     if not content:
         return []
-    low = content.lower()
-    hinted = any(h in low for h in _HINTS)
     text = content.encode("utf-8", "surrogatepass").decode("latin-1")  # one character per byte
+    low = text.lower()
+    folded, exact = [m for m in _FOLDED if m in low], [m for m in _EXACT if m in text]
     pairs = [m for m in _PAIR.finditer(text) if _credential_pair(m)]
-    if not hinted and not pairs:
+    if not folded and not exact and not pairs:
         return []
     source = (path or "").rsplit(".", 1)[-1].lower() in _SOURCE
     found: list[Finding] = []
@@ -247,15 +278,16 @@ def find_credentials(content: str | None, path: str | None = None) -> list[Findi
     for m in pairs:
         add(m.start(2), m.end(2), "credential in text", "")
     offset, named, opened = 0, "", ""
-    for line in text.split("\n"):
+    for line, lower in zip(text.split("\n"), low.split("\n"), strict=True):
         bare = line.strip()
+        expected = opened or (named and key_strength(named))
         if opened and bare:
             value = bare.strip("\"'`,;+ \\")
             if " " not in value and (password_like(value) or random_like(value) or mixed_case(value)) and not _ENTRY.match(bare):
                 at = offset + line.index(value)
                 add(at, at + len(value), "multi-line value", opened)
             opened = ""
-        if len(line) > 3 and not (source and _PLAIN_CODE.match(line)) and _LINE_HINT.search(line):
+        if len(line) > 3 and not (source and _PLAIN_CODE.match(line)) and (expected or any(m in lower for m in folded) or any(m in line for m in exact)):
             _line(text, line, offset, source, named, add)
             if (m := _OPENED.search(line)) and key_strength(m["key"]) == 2:
                 opened = m["key"]

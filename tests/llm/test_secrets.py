@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from quern.llm.secrets import credentials, find_credentials, key_strength, redact
+from quern.llm.secrets import _SECRET_WORDS, credentials, find_credentials, key_strength, redact
 
 LITERAL = [
     ("a.env", "X=1\nexport DB_PASSWORD='Hollowh3ron_2017'\n", [2]),
@@ -47,6 +47,37 @@ def test_harmless(path, text):
     assert find_credentials(text, path) == []
 
 
+BEHIND_GATE = [
+    ("a.yml", "- name: DB_PASSWORD\n  value: Zt4qLm81vXn2\n", [2]),
+    ("a.json", '{"name": "DB_PASSWORD",\n "value": "Zt4qLm81vXn2"}', [2]),
+    ("a.sh", "redis-cli -h x.invalid -a Zt4qLm81vXn2 ping\n", [1]),
+    ("a.sh", "7z a -pZt4qLm81vXn2 out.7z in\n", [1]),
+    ("a.sh", "ldapsearch -x -w Zt4qLm81vXn2 -b dc=x\n", [1]),
+    ("a.sh", "mariadb -u etl -pZt4qLm81vXn2 db\n", [1]),
+    ("a.sh", "mongosh x.invalid -u etl -p Zt4qLm81vXn2\n", [1]),
+    ("a.sh", "zip -P Zt4qLm81vXn2 out.zip in\n", [1]),
+    ("a.sh", "smbclient //x/y -w Zt4qLm81vXn2\n", [1]),
+    ("a.sh", "wget --user bob:Zt4qLm81vXn2 x.invalid\n", [1]),
+    ("a.yml", "x: xapp-1-A02B3C4D5E6F7-8901234567-abcdef\n", [1]),
+    *[("a.yml", f"x: {p}-Zt4qLm81vXn2Rw7Kp3Yd\n", [1]) for p in ("gldt", "glrt", "glptt", "glcbt")],
+    ("a.yml", "x: hvb.Zt4qLm81vXn2Rw7Kp3YdBc5\n", [1]),
+    ("a.yml", "x: Endpoint=sb.invalid;SharedAccessSignature=Zt4qLm81vXn2Rw7Kp3Yd;A=1\n", [1]),
+    ("a.yml", "admin.pw : Zt4qLm81vXn2\n", [1]),
+    ("a.yml", "adminPw : Zt4qLm81vXn2\n", [1]),
+    ("a.yml", "contraseña: Zt4qLm81vXn2\n", [1]),
+]
+
+
+@pytest.mark.parametrize("path,text,lines", BEHIND_GATE)
+def test_gate_lets_every_pattern_fire(path, text, lines):
+    assert sorted({f.line for f in find_credentials(text, path)}) == lines
+
+
+@pytest.mark.parametrize("word", sorted(_SECRET_WORDS))
+def test_gate_knows_every_key_word(word):
+    assert [f.key for f in find_credentials(f"x_{word}: Zt4qLm81vXn2\n", "a.yml")] != []
+
+
 def test_redaction_touches_nothing_else():
     text = '{"ü": "ä", "client_secret": "Vm9FMzhZNlVpM0FlWXZqdkFE",\r\n "b": [1, 2]}'
     clean = redact(text, find_credentials(text, "a.json"))
