@@ -37,6 +37,9 @@ _DATA = re.compile(r"""(?:[\s\-+\d.,;:(){}\[\]'"xXa-fA-F]*\d[\s\-+\d.,;:(){}\[\]
 #: Lines shorter than this say too little to tell where they come from.
 LINE_LEAST = 16
 
+#: Lines in more libraries than this belong to none of them.
+SHARED_MOST = 8
+
 _FEATURES = "hash string, lines int, chars bigint, blanks bigint, skeleton int, data int, generated boolean, library string, rare array<bigint>"
 
 
@@ -72,6 +75,45 @@ def chunk_features(chunks: DataFrame) -> DataFrame:
     return seen.groupBy("hash").agg(one).select("hash", "f.*")
 
 
+def _companions(files: DataFrame, named: DataFrame) -> DataFrame:
+    """``hash, of``: contents of files without a banner that come with a library.
+
+    They lie in the folder of its bannered file in at least two repositories, in more than half of
+    the repositories that hold them and in a quarter of those that hold the library; code that the
+    repositories' people copied, and that lies beside a library here and there, does not.
+    """
+    folder = F.regexp_extract("path", r"^(.*?)[^/\\\\]*$", 1)
+    homes = named.select("repo_root", folder.alias("folder"), "of").distinct()
+    spread_of = homes.groupBy("of").agg(F.countDistinct("repo_root").alias("homes")).filter("homes > 1")
+    bare = files.filter(F.col("total") >= 3).join(named, ["repo_root", "path"], "left_anti").select("repo_root", folder.alias("folder"), "hash").distinct()
+    beside = bare.join(homes.join(spread_of, "of"), ["repo_root", "folder"]).groupBy("hash", "of").agg(F.countDistinct("repo_root").alias("n"), F.max("homes").alias("homes")).filter("n > 1 and 4 * n >= homes")
+    held = files.select("hash", "repo_root").join(beside.select("hash").distinct(), "hash").groupBy("hash").agg(F.countDistinct("repo_root").alias("held"))
+    return beside.join(held, "hash").filter("2 * n > held").select("hash", "of")
+
+
+def _known_lines(lines: DataFrame, contained: float) -> DataFrame:
+    """``line, names``: the libraries every line of ``lines`` (``of, line``) tells of.
+
+    A line in several libraries tells of all of them if one of them holds, or is held by, each of the
+    others (the same library under two names, or one that bundles others); else it is common, and
+    its names are empty.
+    """
+    lines = cut_lineage(lines)
+    several = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("of").alias("of"))
+    shared = lines.join(several.filter(F.col("n").between(2, SHARED_MOST)).select("line", "n"), "line")
+    pairs = shared.join(shared.select("line", F.col("of").alias("other")), "line").filter("of <> other")
+    sizes = lines.groupBy("of").agg(F.count(F.lit(1)).alias("size"))
+    kin = (
+        pairs.groupBy("of", "other").agg(F.count(F.lit(1)).alias("both"))
+        .join(sizes, "of").join(sizes.select(F.col("of").alias("other"), F.col("size").alias("other_size")), "other")
+        .filter(F.col("both") >= contained * F.least("size", "other_size")).select("of", "other")
+    )
+    hubs = pairs.join(kin, ["of", "other"]).groupBy("line", "of").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n")).filter("k = n - 1").select("line").distinct()
+    names = shared.join(hubs, "line").groupBy("line").agg(F.collect_set("of").alias("names"))
+    none = F.array().cast("array<string>")
+    return several.join(names, "line", "left").select("line", F.when(F.col("n") == 1, F.array("of")).otherwise(F.coalesce("names", none)).alias("names"))
+
+
 def not_handwritten(locations: DataFrame, chunks: DataFrame, contained: float = 0.5, repeated: float = 0.5, literal: float = 0.5, long_line: int = 150) -> DataFrame:
     """``repo_root, path, reason``: every file of ``locations`` that nobody of the repository wrote
     by hand (``vendored``, ``generated``, ``minified`` or ``data``).
@@ -89,22 +131,24 @@ def not_handwritten(locations: DataFrame, chunks: DataFrame, contained: float =
     parts = places.unionByName(own).distinct()
     counts = features.withColumn("total", F.size("rare")).drop("rare")
     files = cut_lineage(parts.join(counts, "hash").select("repo_root", "path", "hash", "lines", "chars", "blanks", "skeleton", "data", "generated", "library", "total"))
-    # libraries: the contents of files that carry a library's banner
+    # libraries: the contents of files that carry a library's banner, and of files that come with them
     named = files.filter("library is not null").groupBy("repo_root", "path").agg(F.min("library").alias("of"))
-    members = files.join(named, ["repo_root", "path"]).select("hash", "of").distinct()
-    index = (
-        members.join(features.select("hash", "rare"), "hash").select("of", F.explode("rare").alias("line")).distinct()
-        .groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.first("of").alias("of")).filter("n = 1").drop("n")
-    )
-    hits = features.select("hash", F.explode("rare").alias("line")).join(index, "line").groupBy("hash", "of").agg(F.count(F.lit(1)).alias("hits"))
+    members = files.join(named, ["repo_root", "path"]).select("hash", "of").unionByName(_companions(files, named)).distinct()
+    known = _known_lines(members.join(features.select("hash", "rare"), "hash").select("of", F.explode("rare").alias("line")).distinct(), contained)
+    # hits by library; those of no library are lines that say nothing
+    hits = features.select("hash", F.explode("rare").alias("line")).join(known, "line").select("hash", F.explode_outer("names").alias("of")).groupBy("hash", "of").agg(F.count(F.lit(1)).alias("hits"))
     total = files.groupBy("repo_root", "path").agg(
         *[F.sum(c).alias(c) for c in ("lines", "chars", "blanks", "skeleton", "data", "total")],
         F.max("generated").alias("generated"),
         F.max(F.col("library").isNotNull()).alias("banner"),
     )
-    best = files.select("repo_root", "path", "hash").join(hits, "hash").groupBy("repo_root", "path", "of").agg(F.sum("hits").alias("hits")).groupBy("repo_root", "path").agg(F.max("hits").alias("hits"))
+    best = (
+        files.select("repo_root", "path", "hash").join(hits, "hash").groupBy("repo_root", "path", "of").agg(F.sum("hits").alias("hits"))
+        .groupBy("repo_root", "path").agg(F.max(F.when(F.col("of").isNotNull(), F.col("hits"))).alias("hits"), F.max(F.when(F.col("of").isNull(), F.col("hits"))).alias("common"))
+    )
+    telling = F.col("total") - F.coalesce("common", F.lit(0))
     reason = (
-        F.when(F.col("banner") | ((F.col("total") >= 3) & (F.col("hits") >= contained * F.col("total"))), "vendored")
+        F.when(F.col("banner") | ((telling >= 3) & (F.col("hits") >= contained * telling)), "vendored")
         .when(F.col("generated") | ((F.col("lines") >= 5) & (F.col("skeleton") >= repeated * F.col("lines")) & (F.col("data") < literal * F.col("lines"))), "generated")
         .when((F.col("chars") >= long_line * F.col("lines")) & (F.col("blanks") < 0.1 * F.col("chars")), "minified")
         .when((F.col("lines") >= 5) & (F.col("data") >= literal * F.col("lines")), "data")

@@ -43,6 +43,47 @@ def test_files(spark):
     assert not_handwritten(ldf.limit(0), cdf).collect() == [] and not_handwritten(ldf, cdf.limit(0)).collect() == []
 
 
+def _reasons(spark, files):
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    locations = [(n, r, p, 1, 9, digest(t), "block", None, "go", 1) for n, ((r, p), t) in enumerate(files.items())]
+    chunks = [(n, r, p, 1, t, digest(t), 0) for n, ((r, p), t) in enumerate(files.items())]
+    return {(r.repo_root, r.path): r.reason for r in not_handwritten(spark.createDataFrame(locations, LOCATIONS), spark.createDataFrame(chunks, CHUNKS)).collect()}
+
+
+def test_files_that_come_with_a_library(spark):
+    patched = code(12).split("\n")
+    patched[5:8] = ["    local patch here that nobody else has"]
+    files = {}
+    for n in range(4):
+        files[f"r{n}", f"deps{n}/main.js"] = "// fastlib 1.4.2\n" + code(11)
+        files[f"r{n}", f"deps{n}/tree.js"] = code(12)
+    files["r5", "src/other.js"] = "\n".join(patched)
+    # written by hand: beside the library by chance, and copied
+    for r, p in [("r0", "deps0/own.js"), ("r1", "deps1/own.js"), ("r5", "src/own.js"), ("r6", "src/own.js")]:
+        files[r, p] = code(13)
+    files["r2", "deps2/alone.js"] = code(14)
+    assert set(_reasons(spark, files)) == {(f"r{n}", f"deps{n}/{f}.js") for n in range(4) for f in ("main", "tree")} | {("r5", "src/other.js")}
+
+
+def test_library_under_two_names_and_in_a_bundle(spark):
+    licence = "\n".join(f"// permission number {w} is granted as follows" for w in "one two three four five six".split())
+    files = {
+        ("r1", "a.js"): "// fastlib 1.4.2\n" + code(21),
+        ("r2", "b.js"): "// fastlib-core 1.4.3\n" + code(21),
+        ("r3", "all.js"): "// bigbundle 2.0.0\n" + code(22) + "\n" + code(23),
+        ("r3", "part.js"): "// partlib 2.0.0\n" + code(22),
+        ("r4", "copy.js"): code(21),
+        ("r4", "part.js"): code(22),
+        ("r5", "one.js"): "// onelib 1.0.0\n" + licence + "\n" + code(24),
+        ("r6", "two.js"): "// twolib 1.0.0\n" + licence + "\n" + code(25),
+        # half licence, which says nothing: the copied rest decides
+        ("r7", "mine.js"): licence + "\n" + code(26, 6),
+        ("r7", "theirs.js"): licence + "\n" + "\n".join(code(24).split("\n")[:4] + code(27, 3).split("\n")),
+    }
+    got = set(_reasons(spark, files))
+    assert {("r4", "copy.js"), ("r4", "part.js"), ("r7", "theirs.js")} <= got and ("r7", "mine.js") not in got
+
+
 def test_composition_of_long_text():
     lines, chars, blanks, *_ = composition("x = 1\n" * 50000, True)
     assert lines == 50000 and chars == 300000 and blanks == 150000
