@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.identity import canonical_hash
-from quern.runtime import cut_lineage, spread
+from quern.runtime import broadcast_if_small, cut_lineage, spread
 
 #: Extensions and names of configuration and prose, which are never cases.
 NOT_CODE = ("md", "markdown", "rst", "txt", "adoc", "env", "yml", "yaml", "properties", "json", "toml", "xml", "ini", "cfg", "conf", "csv", "lock", "gitignore", "dockerignore", "editorconfig")
@@ -31,6 +31,12 @@ _GENERATED = re.compile(
     r"(?im)^[^\w\n]{0,8}(?:code generated by\b|@generated\b|<auto-?generated>|auto-?generated (?:file|code|by|from)\b|(?:this|the) (?:file|code|class) (?:was|is|has been) (?:automatically|auto)[ -]*(?:generated|produced|created|written)\b|(?:generated|produced) (?:automatically )?(?:by|from) [\w.\-/]+[^\n]{0,60}do not (?:edit|modify)|automatisch (?:erzeugt|generiert)\b|généré automatiquement|fichier généré|generado automáticamente|archivo generado)"
 )
 _LIBRARY = re.compile(r"^\W{0,6}([A-Za-z][\w.\-]*)\s+v?(\d+\.\d+\.\d+)\b[^|\n]*$")
+#: A banner below the first line: nothing but a mark, a licence or an address follows the version.
+_LATER = re.compile(r"^\W{0,6}([A-Za-z][\w.\-]*)\s+v?(\d+\.\d+\.\d+)(?:[\-+][\w.\-]+)?(?:\s*[^\w\s|][^|]*|\s+(?i:by|copyright|released|licen[sc]ed?|https?|under|build|built)\b[^|]*)?\s*$")
+#: Words before a version that name no library.
+_NO_NAME = set("version ver since release released revision rev license licence licenses apache mit gpl lgpl agpl mpl bsd copyright python node nodejs go golang java jdk php ruby rust cargo npm requires require required compatible from by of the for with protocol api schema updated deprecated introduced added changed removed fixed todo see until before after in at to and or on".split())
+_COMMENT = re.compile(r"#(?!\s*(?:include|define|undef|if|ifdef|ifndef|pragma|import|region|using)\b|\[)|//|\*|--|;|%|<\?(?:php|xml)|<!DOCTYPE|[\"']use strict")
+_BLOCKS = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''", "{-": "-}", "(*": "*)", "--[[": "]]", "=begin": "=end"}
 _NUMBER = re.compile(r"0x[0-9a-fA-F]+|\d+(?:\.\d+)?")
 _DATA = re.compile(r"""(?:[\s\-+\d.,;:(){}\[\]'"xXa-fA-F]*\d[\s\-+\d.,;:(){}\[\]'"xXa-fA-F]*|["']?[A-Za-z0-9+/=_\\]{24,}["']?[,;+\\]?|(?i:insert into)\b.*|\(.*\)[,;])$""")
 
@@ -40,20 +46,40 @@ LINE_LEAST = 16
 #: Lines in more libraries than this belong to none of them.
 SHARED_MOST = 8
 
-_FEATURES = "hash string, lines int, chars bigint, blanks bigint, skeleton int, data int, generated boolean, library string, rare array<bigint>"
-
-
-def composition(text: str, first: bool) -> tuple[int, int, int, int, int, bool, str | None, list[int]]:
-    """(lines, characters, blanks, lines of a repeated skeleton, data lines, banner, library, line hashes)."""
+_FEATURES = "hash string, lines int, chars bigint, blanks bigint, skeleton int, data int, generated boolean, library string, comment boolean, rare array<bigint>"
+
+
+def _leading(lines: list[str]) -> tuple[list[str], bool]:
+    """The comment lines before the first line of code, and whether there is no code at all."""
+    close = ""
+    for n, line in enumerate(lines):
+        if not close:
+            opening = next((o for o in _BLOCKS if line.startswith(o)), "")
+            if not opening:
+                if not _COMMENT.match(line):
+                    return lines[:n], False
+                continue
+            close, line = _BLOCKS[opening], line[len(opening) :]
+        if close in line:
+            rest, close = line.split(close, 1)[1].strip(), ""
+            if rest and not _COMMENT.match(rest):
+                return lines[: n + 1], False
+    return lines, True
+
+
+def composition(text: str, first: bool) -> tuple[int, int, int, int, int, bool, str | None, bool, list[int]]:
+    """(lines, characters, blanks, lines of a repeated skeleton, data lines, banner, library, only comments, line hashes)."""
     lines = [s for x in text.split("\n") if (s := x.strip())]
-    head = "\n".join(lines[:6]) if first else ""
+    leading, comment = _leading(lines)
+    head = "\n".join(lines[: max(6, len(leading))] if first else leading)
     match = _LIBRARY.match(lines[0]) if first and lines else None
+    match = match or next((m for x in leading if (m := _LATER.match(x)) and m[1].lower() not in _NO_NAME), None)
     count = Counter(_NUMBER.sub("0", "\n".join(lines)).split("\n"))
     skeleton = sum(n for s, n in count.items() if n >= 4 and "0" in s and len(s) > 6)
     data = sum(_DATA.match(x) is not None for x in lines)
     hashes = {xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in lines if len(x) >= LINE_LEAST}
     blanks = len(text) - len("".join(text.split()))
-    return len(lines), len(text), blanks, skeleton, data, bool(_GENERATED.search(head)), match[1].lower() if match else None, sorted(hashes)
+    return len(lines), len(text), blanks, skeleton, data, bool(_GENERATED.search(head)), match[1].lower() if match else None, comment, sorted(hashes)
 
 
 def _extension(path: Column) -> Column:
@@ -66,7 +92,7 @@ def chunk_features(chunks: DataFrame) -> DataFrame:
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(h, *composition(t, s <= 3)) for h, t, s in zip(batch["hash"], batch["content"], batch["start_line"], strict=True)]
-            yield pd.DataFrame(rows, columns=["hash", "lines", "chars", "blanks", "skeleton", "data", "generated", "library", "rare"])
+            yield pd.DataFrame(rows, columns=["hash", "lines", "chars", "blanks", "skeleton", "data", "generated", "library", "comment", "rare"])
 
     code = chunks.filter(~_extension(F.col("path")).isin(*NOT_CODE)).select(canonical_hash(F.col("content_hash")).alias("hash"), "content", F.coalesce("start_line", F.lit(1)).alias("start_line"))
     seen = spread(code.filter("hash is not null and content is not null")).mapInPandas(look, _FEATURES)
@@ -124,13 +150,19 @@ def not_handwritten(locations: DataFrame, chunks: DataFrame, contained: float =
     once. Empty tables give no rows; extra columns are ignored.
     """
     features = cut_lineage(chunk_features(chunks))
-    keyed = lambda df: df.select("repo_root", "path", canonical_hash(F.col("content_hash")).alias("hash")).filter("repo_root <> '' and path <> '' and hash is not null")
+    keyed = lambda df: df.select("repo_root", "path", F.coalesce("start_line", F.lit(1)).alias("start"), canonical_hash(F.col("content_hash")).alias("hash")).filter("repo_root <> '' and path <> '' and hash is not null")
     places = keyed(locations).filter(~_extension(F.col("path")).isin(*NOT_CODE))
     listed = locations.filter("repo_root <> '' and path <> ''").select("repo_root", "path").distinct()
     own = keyed(chunks).join(listed, ["repo_root", "path"], "left_semi")
-    parts = places.unionByName(own).distinct()
+    parts = places.unionByName(own).groupBy("repo_root", "path", "hash").agg(F.min("start").alias("start"))
     counts = features.withColumn("total", F.size("rare")).drop("rare")
-    files = cut_lineage(parts.join(counts, "hash").select("repo_root", "path", "hash", "lines", "chars", "blanks", "skeleton", "data", "generated", "library", "total"))
+    placed = cut_lineage(parts.join(counts, "hash").select("repo_root", "path", "hash", "start", "lines", "chars", "blanks", "skeleton", "data", "generated", "library", "comment", "total"))
+    # banners count up to the part in which the first code of the file lies
+    late = placed.filter((F.col("generated") | F.col("library").isNotNull()) & (F.col("start") > 3)).select("repo_root", "path", "hash", "start")
+    code = placed.join(broadcast_if_small(late.select("repo_root", "path").distinct()), ["repo_root", "path"], "left_semi").groupBy("repo_root", "path").agg(F.min(F.when(~F.col("comment"), F.col("start"))).alias("code"))
+    void = cut_lineage(late.join(code, ["repo_root", "path"]).filter("start > code").select("repo_root", "path", "hash", F.lit(True).alias("void")))
+    files = placed.join(broadcast_if_small(void), ["repo_root", "path", "hash"], "left")
+    files = files.withColumn("generated", F.col("generated") & F.col("void").isNull()).withColumn("library", F.when(F.col("void").isNull(), F.col("library"))).drop("void", "start", "comment")
     # libraries: the contents of files that carry a library's banner, and of files that come with them
     named = files.filter("library is not null").groupBy("repo_root", "path").agg(F.min("library").alias("of"))
     members = files.join(named, ["repo_root", "path"]).select("hash", "of").unionByName(_companions(files, named)).distinct()

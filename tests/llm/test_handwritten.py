@@ -84,6 +84,34 @@ def test_library_under_two_names_and_in_a_bundle(spark):
     assert {("r4", "copy.js"), ("r4", "part.js"), ("r7", "theirs.js")} <= got and ("r7", "mine.js") not in got
 
 
+LICENCE = [f"Permission line {w} of a licence header" for w in "one two three four five six seven eight".split()]
+
+
+def test_banners_anywhere_in_the_leading_comment():
+    head = lambda mark: "\n".join(f"{mark} {x}" for x in LICENCE)
+    generated = lambda text, first=True: composition(text, first)[5]
+    library = lambda text: composition(text, True)[6]
+    assert generated(head("//") + "\n// Code generated by tool. DO NOT EDIT.\npackage x\n" + code(1))
+    assert generated("/*\n" + head(" *") + "\n * This file was automatically generated.\n */\nint x;\n")
+    assert not generated(head("//") + "\npackage x\n// Code generated by tool. DO NOT EDIT.\n" + code(1))
+    assert library("/*!\n * fastlib v1.4.2\n * MIT\n */\n" + code(1)) == "fastlib"
+    assert library("#!/usr/bin/env node\n// fastlib 1.4.2\n" + code(1)) == "fastlib"
+    assert library("<?php\n/**\n * fastlib 1.4.2 (MIT)\n */\n" + code(1)) == "fastlib"
+    assert library("// Copyright 2020 the authors\n// fastlib 1.4.2\n" + code(1)) == "fastlib"
+    for text in ("// Our parser.\n// Version 1.4.2\n", "# Loader\n# Python 3.11.2\n", "// Note\n// fastlib 1.4.2 breaks this\n", "// Note\nx = 1\n// fastlib 1.4.2\n"):
+        assert library(text + code(1)) is None
+
+
+def test_leading_comment_of_several_chunks(spark):
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    notice = "// More of it.\n// Code generated by tool. DO NOT EDIT.\npackage x\n" + code(31)
+    parts = [("a.go", 1, "\n".join(f"// {x}" for x in LICENCE)), ("a.go", 9, notice), ("b.go", 1, "package y\n" + code(32)), ("b.go", 50, notice)]
+    locations = [(n, "r", p, s, s + 8, digest(t), "block", None, "go", 1) for n, (p, s, t) in enumerate(parts)]
+    chunks = [(n, "r", p, s, t, digest(t), 0) for n, (p, s, t) in enumerate(parts)]
+    got = not_handwritten(spark.createDataFrame(locations, LOCATIONS), spark.createDataFrame(chunks, CHUNKS)).collect()
+    assert [(r.path, r.reason) for r in got] == [("a.go", "generated")]
+
+
 def test_composition_of_long_text():
     lines, chars, blanks, *_ = composition("x = 1\n" * 50000, True)
     assert lines == 50000 and chars == 300000 and blanks == 150000
