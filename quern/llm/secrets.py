@@ -111,10 +111,33 @@ _FOLDED = _least(
 _EXACT = _least(["AKIA", "ASIA", "eyJ"] + " ".join(_TOKENS.values()).split())
 
 
-#: A line of code without any quote, comment or URL has no literal text.
+#: A line of code without any quote, comment or URL has no literal text, unless it is in one over lines.
 _PLAIN_CODE = re.compile(r"[^\"'`#/]*$")
 
 
+#: Literals that may go over lines, after the comments and one-line strings they must not begin in.
+_QUOTED = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'"""
+_SKIP = r"/\*.*?(?:\*/|\Z)|//[^\n]*|" + _QUOTED
+_RAW = r"`(?P<raw>[^`]*)(?:`|\Z)"
+_TEMPLATE = r"`(?P<raw>(?:[^`\\]|\\.)*)(?:`|\Z)"
+_TRIPLE = r'"""(?P<three>(?:[^\\"]|\\.|"(?!""))*)(?:"""|\Z)'
+_MULTI = (
+    {"go": re.compile(_RAW + "|" + _SKIP, re.S), "py": re.compile(_TRIPLE + r"|'''(?P<raw>(?:[^\\']|\\.|'(?!''))*)(?:'''|\Z)|#[^\n]*|" + _QUOTED, re.S)}
+    | dict.fromkeys(("ts", "tsx", "js", "jsx"), re.compile(_TEMPLATE + "|" + _SKIP, re.S))
+    | dict.fromkeys(("java", "kt", "scala", "swift", "cs"), re.compile(_TRIPLE + "|" + _SKIP, re.S))
+)
+
+
+def _inner(text: str, extension: str) -> Iterator[tuple[int, int]]:
+    """Ranges of the literals of a source text that go over lines; one that is cut off ends with the text."""
+    pattern = _MULTI.get(extension)
+    if pattern is None or not ("`" in text or '"""' in text or "'''" in text):
+        return
+    for m in pattern.finditer(text):
+        if m.lastgroup and "\n" in m[m.lastgroup]:
+            yield m.span(m.lastgroup)
+
+
 class Finding(NamedTuple):
     """A credential: byte range of its value, line (from 1), what it is, and the key path."""
 
@@ -262,7 +285,9 @@ def find_credentials(content: str | None, path: str | None = None) -> list[Findi
     pairs = [m for m in _PAIR.finditer(text) if _credential_pair(m)]
     if not folded and not exact and not pairs:
         return []
-    source = (path or "").rsplit(".", 1)[-1].lower() in _SOURCE
+    extension = (path or "").rsplit(".", 1)[-1].lower()
+    source = extension in _SOURCE
+    inner = list(_inner(text, extension)) if source else []
     found: list[Finding] = []
     taken: list[tuple[int, int]] = []
 
@@ -287,7 +312,16 @@ def find_credentials(content: str | None, path: str | None = None) -> list[Findi
                 at = offset + line.index(value)
                 add(at, at + len(value), "multi-line value", opened)
             opened = ""
-        if len(line) > 3 and not (source and _PLAIN_CODE.match(line)) and (expected or any(m in lower for m in folded) or any(m in line for m in exact)):
+        marked = len(line) > 3 and (expected or any(m in lower for m in folded) or any(m in line for m in exact))
+        while inner and inner[0][1] <= offset:
+            inner.pop(0)
+        if marked and inner and inner[0][0] < offset + len(line):
+            # the part of the line in a literal is read as configuration
+            start, end = max(inner[0][0], offset), min(inner[0][1], offset + len(line))
+            _line(text, text[start:end], start, False, named, add)
+        if marked and source and _PLAIN_CODE.match(line):
+            _tokens(line, offset, add)
+        elif marked:
             _line(text, line, offset, source, named, add)
             if (m := _OPENED.search(line)) and key_strength(m["key"]) == 2:
                 opened = m["key"]
@@ -299,11 +333,15 @@ def find_credentials(content: str | None, path: str | None = None) -> list[Findi
     return found
 
 
-def _line(text: str, line: str, offset: int, source: bool, named: str, add) -> None:
+def _tokens(line: str, offset: int, add) -> None:
     for pattern, kind in ((_PROVIDER, "provider token"), (_SIGNED, "signed token"), (_ACCESS_ID, "access key id")):
         for m in pattern.finditer(line):
             if not _HOLDER.search(m[0]) and len(set(m[0])) >= 8:
                 add(offset + m.start(), offset + m.end(), kind, "")
+
+
+def _line(text: str, line: str, offset: int, source: bool, named: str, add) -> None:
+    _tokens(line, offset, add)
     for m in _URL.finditer(line):
         # a password ends at the last @ before the host
         if not _HOLDER.search(m[2]) and not _LOOKUP.search(m[2]) and not re.fullmatch(r"(?i)pass(word)?|pw|pwd|secret|%\w", m[2]) and len(m[2]) >= 4:
