@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.runtime import cut_lineage
+from quern.runtime import cut_lineage, cut_table
 
 
 def parent_of(path: Column) -> Column:
@@ -25,6 +25,7 @@ def tree_nodes(files: DataFrame, max_depth: int | None = None) -> DataFrame:
     one directory's children (path and hash only) meet in one group. Directory ``''`` is the root.
     """
     leaves = files.select("repo_root", "path", F.lit(False).alias("is_dir"), F.size(F.split("path", "/")).alias("depth"), "hash", F.col("size").cast("bigint").alias("size"), F.lit(1).cast("bigint").alias("files"))
+    leaves = cut_table(leaves, "leaves", "depth")  # every level reads its own folder
     deepest = max_depth if max_depth is not None else leaves.agg(F.max("depth")).first()[0] or 0
     nodes, level = [leaves], None
     for depth in range(deepest, 0, -1):

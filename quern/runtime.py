@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -22,6 +23,7 @@ def get_spark(app: str = "quern", master: str | None = None, **conf: str) -> Spa
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -36,22 +38,39 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, single machine) a temporary folder is used.
+    A temporary folder takes its place only where the setting is absent and driver and executors
+    are one process (tests); on a cluster the setting is required.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quern-checkpoint-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quern-checkpoint-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared folder, for tables that live as long as their readers."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that lost executors lose nothing."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def cut_table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """``df`` written as Parquet below the shared folder and read back: later filters on
+    ``partition_by`` read only their folders, later selections only their columns."""
+    folder = scratch_folder(df.sparkSession, name)
+    df.write.partitionBy(*partition_by).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder).select(*df.columns)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to have at most ``max_rows`` rows, else as it is.
 
@@ -99,13 +118,24 @@ def hash_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(id_col), F.lit(space)) < int(space * rows / n))
 
 
+#: Plan nodes that keep the partitions of a scan.
+_NARROW = {"Project", "Filter", "Generate", "LogicalRelation", "LogicalRDD", "LocalRelation", "Range", "SubqueryAlias", "MapInArrow", "MapInPandas", "Union"}
+
+
+def _narrow(plan) -> bool:
+    if plan.getClass().getSimpleName() not in _NARROW:
+        return False
+    children = plan.children()
+    return all(_narrow(children.apply(n)) for n in range(children.size()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as the cluster has cores.
 
     A scan of few files would leave Python work to a few tasks; where it has partitions enough, as
     any large input has, nothing is added to the plan, nor where it was shuffled anyway.
     """
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    if not _narrow(df._jdf.queryExecution().optimizedPlan()):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
