@@ -9,8 +9,8 @@ words and one in ten). They share (characters - q + 1) q-grams on one diagonal,
 shortest such stretch has c characters can only leak where some diagonal band has c - q + 1 common
 q-grams. Bands overlap by half; every surviving region is verified by a banded word alignment.
 
-The passages (a bounded held-out set) are indexed in blocks of ``block_passages``, each block is
-broadcast and all texts are streamed past it: no shuffle, whatever the skew of the texts.
+The passages are indexed in blocks of ``block_passages``, each block is broadcast and all texts are
+streamed past it: no shuffle, whatever the skew of the texts.
 """
 
 from __future__ import annotations
@@ -18,23 +18,24 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.runtime import spread
+from quern.runtime import cut_lineage, cut_table, spread
 
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
 _NUMBERED = re.compile(r"(?m)^[^\w\n]*\d{1,5}[.:)|\]][ \t]+(?=\S)")
-_INVISIBLE = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
+_INVISIBLE = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff]+")
 _SENTENCE = re.compile(r"[^.?!]*[.?!]?")
 
-SCHEMA = "passage_no int, first_word int, words int, altered int"
+SCHEMA = "passage_id bigint, first_word int, words int, altered int"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -44,7 +45,7 @@ def words_of(text: str | None) -> list[str]:
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(_INVISIBLE)
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     if "<" in text:
         text = _TAG.sub(" ", text)
     return _WORD.findall(_NUMBERED.sub("", text).casefold())
@@ -59,11 +60,33 @@ def clean_words(run_words: int, altered_share: float) -> int:
     return least
 
 
-def strip_stock(texts: list[str | None], shared_by: int = 5) -> list[str]:
-    """The texts without the sentences that at least ``shared_by`` of them have in common."""
-    split = [[s for s in _SENTENCE.findall(t or "") if s.strip()] for t in texts]
-    count = Counter(key for t in split for key in {tuple(words_of(s)) for s in t})
-    return [" ".join(s for s in t if count[tuple(words_of(s))] < shared_by) for t in split]
+def _sentences(text: str | None) -> list[tuple[str, str]]:
+    """(sentence, its words joined by blanks) of a text."""
+    return [(x, " ".join(words_of(x))) for x in _SENTENCE.findall(text or "") if x.strip()]
+
+
+def strip_stock(texts: DataFrame, id_col: str, text_col: str, shared_by: int = 5) -> DataFrame:
+    """``id, text``: the texts without the sentences that at least ``shared_by`` of them have in common.
+
+    Sentences are the same if their words are. A text of which nothing is left, and null and empty
+    ones, give no row; repeated ids are one text. The stock sentences are anti-joined, so a sentence
+    that all texts share is the hot key of a join that AQE splits.
+    """
+    kind = texts.schema[id_col].dataType.simpleString()
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(key, n, x, words) for key, text in zip(batch[id_col].tolist(), batch[text_col].tolist(), strict=True) for n, (x, words) in enumerate(_sentences(text))]
+            yield pd.DataFrame(rows, columns=[id_col, "__n", "__sentence", "__words"])
+
+    parts = cut_lineage(texts.select(id_col, text_col).na.drop().mapInPandas(split, f"{id_col} {kind}, __n int, __sentence string, __words string"))
+    stock = parts.select(id_col, "__words").distinct().groupBy("__words").count().filter(F.col("count") >= shared_by).select("__words")
+    left = parts.join(stock, "__words", "left_anti").groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("__n", "__sentence"))).alias("__s"))
+    return left.select(id_col, F.array_join(F.transform("__s", lambda x: x["__sentence"]), " ").alias(text_col))
+
+
+#: Bytes of text looked at in one piece; bounds what the q-grams of a batch take in a worker.
+PIECE = 1 << 20
 
 
 def _grams(data: bytes) -> np.ndarray:
@@ -86,6 +109,9 @@ class PassageIndex:
     def __init__(self, passages: list[list[str]], clean: int):
         self.words, self.clean = passages, clean
         self.stretches = [{tuple(w[i : i + clean]) for i in range(len(w) - clean + 1)} for w in passages]
+        self.starts = [np.cumsum([0] + [len(x.encode()) + 1 for x in w]) for w in passages]
+        self.numbers = [{x: n for n, x in enumerate(dict.fromkeys(w))} for w in passages]
+        self.coded = [np.array([known[x] for x in w], np.int64) for w, known in zip(passages, self.numbers, strict=True)]
         hashes, owner, position, need = [], [], [], []
         for number, words in enumerate(passages):
             joined = " ".join(words).encode()
@@ -105,110 +131,166 @@ class PassageIndex:
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.hash >> np.uint64(42)).astype(np.int64)] = True
 
-    def occurrences(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text position, passage, passage position) of every common q-gram."""
+    def occurrences(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text position, passage, passage position) of every common q-gram, in the order of the text."""
+        found = [self._piece(_grams(data[start : start + PIECE + Q - 1]), start) for start in range(0, max(1, len(data)), PIECE)]
+        return tuple(np.concatenate(column) for column in zip(*found, strict=True))
+
+    def _piece(self, grams: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.flatnonzero(self.seen[(grams >> np.uint64(42)).astype(np.int64)])
         low = np.searchsorted(self.hash, grams[at], "left")
         count = np.searchsorted(self.hash, grams[at], "right") - low
         at, low, count = at[count > 0], low[count > 0], count[count > 0]
         starts = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])) if len(count) else low, count)
         entry = starts + np.arange(len(starts))
-        return np.repeat(at, count), self.owner[entry], self.position[entry]
+        return np.repeat(at, count) + start, self.owner[entry], self.position[entry]
 
 
-def _regions(index: PassageIndex, at: np.ndarray, passage: np.ndarray, position: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
-    """(passage, first, last text position) of the bands of one text that meet their bound."""
-    diagonal = at - position + (1 << 40)
+def _regions(index: PassageIndex, number: np.ndarray, at: np.ndarray, passage: np.ndarray, position: np.ndarray, width: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text, passage, first and last text position, passage position of the first) of the bands
+    that meet their bound, text by text; bands overlap by half."""
+    if not len(at):
+        return
+    diagonal = at - position + int(position.max())
+    span = int(diagonal.max()) // width + 2
+    found = []
     for shift in (0, width // 2):
-        key = passage * (1 << 41) + (diagonal + shift) // width
-        order = np.argsort(key, kind="stable")
+        key = (number * len(index.words) + passage) * span + (diagonal + shift) // width
+        order = np.argsort(key, kind="stable")  # positions of a band stay in the order of the text
         first = np.flatnonzero(np.diff(key[order], prepend=-1))
         size = np.diff(first, append=len(key))
-        owner = passage[order[first]]
-        for n in np.flatnonzero(size >= index.need[owner]):
-            group = at[order[first[n] : first[n] + size[n]]]
-            yield int(owner[n]), int(group.min()), int(group.max())
+        meets = np.flatnonzero(size >= index.need[passage[order[first]]])
+        head, tail = order[first[meets]], order[first[meets] + size[meets] - 1]
+        found.append(np.stack([number[head], passage[head], at[head], at[tail], position[head]], 1))
+    every = np.concatenate(found)
+    yield from map(tuple, every[np.argsort(every[:, 0], kind="stable")].tolist())
+
+
+def _longest(matched: list[bool], least: int, share: float) -> tuple[int, int] | None:
+    """(start, length) of the longest stretch of at least ``least`` steps that begins and ends with a
+    match and has at most ``share`` of its steps unmatched; of equal ones the first."""
+    excess = [0.0]  # unmatched steps beyond the share
+    for m in matched:
+        excess.append(excess[-1] + (not m) - share)
+    starts: list[int] = []
+    for a, m in enumerate(matched):
+        if m and (not starts or excess[a] > excess[starts[-1]]):
+            starts.append(a)
+    found = None
+    for b in range(len(matched), 0, -1):
+        if not matched[b - 1]:
+            continue
+        while starts and excess[b] - excess[starts[-1]] <= 1e-9:
+            a = starts.pop()
+            if b - a >= least and (found is None or b - a >= found[1]):
+                found = (a, b - a)
+    return found
 
 
-def banded_run(passage: list[str], text: list[str], offset: int, band: int, run_words: int, altered_share: float) -> tuple[int, int, int] | None:
-    """The longest qualifying run in the alignment of two word lists near one diagonal.
+def banded_run(passage: np.ndarray, text: np.ndarray, offset: int, band: int, run_words: int, altered_share: float) -> tuple[int, int, int] | None:
+    """The longest qualifying run in the alignment of two lists of word numbers near one diagonal.
 
     ``offset`` is text index minus passage index of the diagonal. Returns (first text word, words,
     altered) or None. Local alignment with +2 for equal words and -1 for each altered, missing or
-    additional word; on its path the longest stretch with enough words and few enough changes wins.
-    A run begins and ends with an unaltered word.
+    additional word, one row of the band at a time; on its path the longest stretch with enough
+    words and few enough changes wins. A run begins and ends with an unaltered word.
     """
-    best, where = 0, None
-    rows: list[dict[int, tuple[int, int]]] = []  # text index -> (score, move); moves 1 diagonal, 2 up, 3 left
-    previous: dict[int, tuple[int, int]] = {}
-    for i, word in enumerate(passage):
-        row: dict[int, tuple[int, int]] = {}
-        for j in range(max(0, i + offset - band), min(len(text), i + offset + band + 1)):
-            diagonal = previous.get(j - 1, (0, 0))[0] + (2 if word == text[j] else -1)
-            up, left = previous.get(j, (0, 0))[0] - 1, row.get(j - 1, (0, 0))[0] - 1
-            score = max(diagonal, up, left)
-            if score > 0:
-                row[j] = (score, 1 if score == diagonal else 2 if score == up else 3)
-                if score >= best:
-                    best, where = score, (i, j)
-        rows.append(row)
-        previous = row
-    if where is None:
+    m, wide = len(passage), 2 * band + 1
+    left = offset - band  # text index of the first cell of row 0
+    low, high = max(0, left), min(len(text), left + m + wide - 1)
+    if m == 0 or high <= low:
+        return None
+    near = np.full(m + wide - 1, -1, np.int64)
+    near[low - left : high - left] = text[low:high]
+    windows = np.lib.stride_tricks.sliding_window_view(near, wide)
+    equal = windows == passage[:, None]
+    step, outside = np.where(equal, 2, -1).astype(np.int32), windows < 0
+    score = np.zeros((m, wide), np.int32)
+    ramp, previous = np.arange(wide, dtype=np.int32), np.zeros(wide + 1, np.int32)
+    for i in range(m):
+        row = np.maximum(previous[:-1] + step[i], previous[1:] - 1)
+        row[outside[i]] = -wide
+        row = np.maximum(np.maximum.accumulate(row + ramp) - ramp, 0)  # words added in the text
+        row[outside[i]] = 0
+        score[i] = previous[:-1] = row
+    best = int(score.max())
+    if best <= 0:
         return None
-    path, (i, j) = [], where
-    while i >= 0 and j >= 0 and (cell := rows[i].get(j)):
-        move = cell[1]
-        path.append((j, move == 1 and passage[i] == text[j], move != 3))
-        i, j = i - (move != 3), j - (move != 2)
+    i, c = divmod(score.size - 1 - int(np.argmax(score[::-1, ::-1])), wide)
+    path: list[tuple[int, bool]] = []
+    while i >= 0 and 0 <= c < wide and score[i, c] > 0:
+        here = score[i, c]
+        above, aside = (score[i - 1, c], score[i - 1, c + 1] if c + 1 < wide else 0) if i else (0, 0)
+        if here == above + step[i, c]:
+            path.append((left + i + c, bool(equal[i, c])))
+            i -= 1
+        elif here == aside - 1:
+            path.append((left + i + c, False))
+            i, c = i - 1, c + 1
+        else:
+            path.append((left + i + c, False))
+            c -= 1
     path.reverse()
-    found = None
-    for a in range(len(path)):
-        if not path[a][1]:
+    matched = [m for _, m in path]
+    found = _longest(matched, run_words, altered_share)
+    if found is None:
+        return None
+    a, length = found
+    return path[a][0], length, length - sum(matched[a : a + length])
+
+
+def _slices(words: Iterator[list[str]], most: int = PIECE) -> Iterator[tuple[int, list[list[str]]]]:
+    """Consecutive texts (number of the first, their words) of about ``most`` characters together."""
+    first, held, size = 0, [], 0
+    for n, own in enumerate(words):
+        if held and size > most:
+            yield first, held
+            first, held, size = n, [], 0
+        held.append(own)
+        size += sum(map(len, own)) + len(own)
+    if held:
+        yield first, held
+
+
+def _scan(texts: Iterator[list[str]], index: PassageIndex, run_words: int, altered_share: float, width: int = 64) -> Iterator[tuple[int, int, tuple[int, int, int]]]:
+    """(text number, passage, run) of every leak in a batch of texts, given as their words."""
+    for base, words in _slices(texts):
+        joined = [" ".join(w).encode() for w in words]
+        ends = np.cumsum([len(j) + 1 for j in joined])
+        at, passage, position = index.occurrences(b"\n".join(joined))
+        number = np.searchsorted(ends, at, "right")
+        local = at - np.concatenate(([0], ends[:-1]))[number]
+        for n, regions in groupby(_regions(index, number, local, passage, position, width), itemgetter(0)):
+            for p, run in _leaks(words[n], regions, index, run_words, altered_share):
+                yield base + n, p, run
+
+
+def _leaks(words: list[str], regions: Iterator[tuple[int, int, int, int, int]], index: PassageIndex, run_words: int, altered_share: float) -> Iterator[tuple[int, tuple[int, int, int]]]:
+    """(passage, run) of the passages that leak into one text, each once."""
+    starts = np.cumsum([0] + [len(w.encode()) + 1 for w in words])
+    done: dict[int, tuple[int, int, int]] = {}
+    tried: set[tuple[int, int, int, int]] = set()
+    for _, p, first, last, at_item in regions:
+        if p in done:
             continue
-        length = altered = 0
-        for b in range(a, len(path)):
-            length += path[b][2] or not path[b][1]
-            altered += not path[b][1]
-            if path[b][1] and length >= run_words and altered <= length * altered_share + 1e-9 and (found is None or length > found[1]):
-                found = (path[a][0], length, altered)
-    return found
-
-
-def _scan(texts: list[str | None], index: PassageIndex, run_words: int, altered_share: float, width: int = 64) -> Iterator[tuple[int, int, tuple[int, int, int]]]:
-    """(text number, passage, run) of every leak in a batch of texts."""
-    words = [words_of(t) for t in texts]
-    joined = [" ".join(w).encode() for w in words]
-    ends = np.cumsum([len(j) + 1 for j in joined])
-    at, passage, position = index.occurrences(_grams(b"\n".join(joined)))
-    number = np.searchsorted(ends, at, "right")
-    cut = np.flatnonzero(np.diff(number)) + 1
-    for group in np.split(np.arange(len(at)), cut):
-        if not len(group):
+        own = index.words[p]
+        left = int(np.searchsorted(starts, first, "right")) - 1
+        item_word = int(np.searchsorted(index.starts[p], at_item, "right")) - 1
+        low = max(0, left - item_word - 30)
+        high = min(len(words), int(np.searchsorted(starts, last, "right")) + len(own) + 30)
+        # the band that overlaps this one often holds the same region
+        if (p, low, high, left - item_word) in tried:
+            continue
+        tried.add((p, low, high, left - item_word))
+        # the lemma on words: some stretch of neighbours is unaltered in every qualifying run
+        if not any(tuple(words[j : j + index.clean]) in index.stretches[p] for j in range(low, high - index.clean + 1)):
             continue
-        n = int(number[group[0]])
-        local = at[group] - (ends[n] - len(joined[n]) - 1)
-        starts = None
-        done: dict[int, tuple[int, int, int]] = {}
-        for p, first, last in _regions(index, local, passage[group], position[group], width):
-            own = index.words[p]
-            if p in done:
-                continue
-            if starts is None:
-                starts = np.cumsum([0] + [len(w.encode()) + 1 for w in words[n]])
-            hits = group[(passage[group] == p) & (local >= first) & (local <= last)]
-            left = int(np.searchsorted(starts, first, "right")) - 1
-            at_item = int(position[hits[0]])
-            item_word = len(b" ".join(w.encode() for w in own)[:at_item].split(b" ")) - 1
-            low = max(0, left - item_word - 30)
-            high = int(np.searchsorted(starts, last, "right")) + len(own) + 30
-            # the lemma on words: some stretch of neighbours is unaltered in every qualifying run
-            if not any(tuple(words[n][j : j + index.clean]) in index.stretches[p] for j in range(low, min(high, len(words[n])) - index.clean + 1)):
-                continue
-            run = banded_run(own, words[n][low:high], left - item_word - low, 24, run_words, altered_share)
-            if run:
-                done[p] = (run[0] + low, run[1], run[2])
-        for p, run in done.items():
-            yield n, p, run
+        known = index.numbers[p]
+        text = np.array([known.get(w, len(known)) for w in words[low:high]], np.int64)
+        run = banded_run(index.coded[p], text, left - item_word - low, 24, run_words, altered_share)
+        if run:
+            done[p] = (run[0] + low, run[1], run[2])
+    yield from done.items()
 
 
 def leaked_passages(
@@ -222,32 +304,43 @@ def leaked_passages(
     altered_share: float = 0.1,
     block_passages: int = 20_000,
 ) -> DataFrame:
-    """``id, item_id, passage_no, first_word, words, altered``: one row per text and leaked passage.
-
-    ``items`` holds (item, passage) rows of the held-out set; sentences that many passages share
-    must be removed before (``strip_stock``). Null items, null or blank texts and passages, and passages of
-    fewer than ``run_words`` words, leak nowhere; texts without an id are left out. Repeated texts each report their leaks. Other
-    columns of both inputs are ignored, so clashing names do no harm.
+    """``id, item_id, passage_id, first_word, words, altered``: one row per text and leaked passage.
+
+    ``items`` holds (item, passage) rows of the held-out set; ``passage_id`` is a hash of the
+    passage. Sentences that many passages share must be removed before (``strip_stock``). Null
+    items, null or blank texts and passages, and passages of fewer than ``run_words`` words, leak
+    nowhere; texts without an id are left out. Repeated texts each report their leaks. Other
+    columns of both inputs are ignored, so clashing names do no harm. Passages are counted and
+    broadcast in blocks of about ``block_passages``; if there are several, the texts are split into
+    words once, written, and streamed past each block.
     """
     spark = texts.sparkSession
     kind = texts.schema[id_col].dataType.simpleString()
-    held = items.select(F.col(item_col).cast("string"), F.col(passage_col).cast("string")).na.drop().distinct()
-    rows = sorted(tuple(r) for r in held.collect())  # the held-out set, bounded by what people wrote
-    kept = [(item, w) for item, passage in rows if len(w := words_of(passage)) >= run_words]
+    held = cut_lineage(items.select(F.col(item_col).cast("string").alias("item"), F.col(passage_col).cast("string").alias("passage")).na.drop().distinct())
+    blocks = max(1, -(-held.count() // block_passages))
+    held = held.select("item", "passage", F.xxhash64("passage").alias("id"), F.pmod(F.xxhash64("item", "passage"), F.lit(blocks)).alias("block"))
     clean = clean_words(run_words, altered_share)
-    schema = f"{id_col} {kind}, item_id string, {SCHEMA}"
-    source, out = spread(texts.select(id_col, text_col).filter(F.col(id_col).isNotNull())), None
-    for start in range(0, max(1, len(kept)), block_passages):
-        block = kept[start : start + block_passages]
-        sent = spark.sparkContext.broadcast((PassageIndex([w for _, w in block], clean), [i for i, _ in block], start))
+    source, read = spread(texts.select(id_col, text_col).filter(F.col(id_col).isNotNull())), words_of
+    if blocks > 1:
+
+        def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({id_col: batch[id_col], text_col: [" ".join(words_of(t)) for t in batch[text_col]]})
+
+        source, read = cut_table(source.mapInPandas(split, f"{id_col} {kind}, {text_col} string"), "words"), lambda t: t.split(" ") if t else []
+    out = None
+    for block in range(blocks):
+        rows = sorted((r.item, r.passage, r.id) for r in held.filter(F.col("block") == block).collect())  # about block_passages
+        kept = [(item, number, w) for item, passage, number in rows if len(w := words_of(passage)) >= run_words]
+        sent = spark.sparkContext.broadcast((PassageIndex([w for *_, w in kept], clean), [(item, number) for item, number, _ in kept]))
 
         def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index, names, base = sent.value
+            index, names = sent.value
             for batch in batches:
                 ids = batch[id_col].tolist()
-                found = [(ids[n], names[p], base + p, *run) for n, p, run in _scan(batch[text_col].tolist(), index, run_words, altered_share)]
-                yield pd.DataFrame(found, columns=[id_col, "item_id", "passage_no", "first_word", "words", "altered"])
+                found = [(ids[n], *names[p], *run) for n, p, run in _scan(map(read, batch[text_col]), index, run_words, altered_share)]
+                yield pd.DataFrame(found, columns=[id_col, "item_id", "passage_id", "first_word", "words", "altered"])
 
-        part = source.mapInPandas(scan, schema)
+        part = source.mapInPandas(scan, f"{id_col} {kind}, item_id string, {SCHEMA}")
         out = part if out is None else out.unionByName(part)
     return out

@@ -80,9 +80,9 @@ def p8_free_room(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, passage) of the held-out cases: prompts without stock sentences, and content passages."""
-    rows = read_table(spark, sf_dir, "eval_cases").select("id", "prompt", F.col("ground_truth.content").alias("content")).collect()  # held-out set
-    prompts = strip_stock([r.prompt for r in rows])
-    return spark.createDataFrame([(r.id, p) for r, prompt in zip(rows, prompts, strict=True) for p in (prompt, *(r.content or []))], "item_id string, passage string")
+    cases = read_table(spark, sf_dir, "eval_cases").select(F.col("id").alias("item_id"), "prompt", F.col("ground_truth.content").alias("content"))
+    prompts = strip_stock(cases.select("item_id", F.col("prompt").alias("passage")), "item_id", "passage")
+    return prompts.unionByName(cases.select("item_id", F.explode("content").alias("passage")))
 
 
 def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

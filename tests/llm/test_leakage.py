@@ -1,6 +1,7 @@
 import random
+import tracemalloc
 
-from quern.llm.leakage import clean_words, leaked_passages, strip_stock, words_of
+from quern.llm.leakage import PassageIndex, _longest, _scan, clean_words, leaked_passages, strip_stock, words_of
 
 PASSAGE = "the half open linen vector calls publishLayerWorker56 and then the buffer harbor counter passes 6387 even if splitBudgetla swaps the voucher thread for an olive turbine"
 
@@ -20,7 +21,48 @@ def brute(text, passage, run=12, share=0.1):
 
 def test_bounds():
     assert clean_words(12, 0.1) == 6
-    assert strip_stock(["One thing. Answer now.", "Another. Answer now.", "Third! Answer  now"] + ["x y. answer now."] * 3)[0].strip() == "One thing."
+
+
+def test_stock_sentences(spark):
+    texts = ["One thing. Answer now.", "Another. Answer now.", "Third! Answer  now"] + ["x y. answer now."] * 3 + [None, "", "Answer now."]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.text.strip() for r in strip_stock(df, "id", "text").collect()}
+    assert got == {0: "One thing.", 1: "Another.", 2: "Third!", 3: "x y.", 4: "x y.", 5: "x y."}
+    assert strip_stock(df.limit(0), "id", "text").collect() == []
+
+
+def test_phrase_that_a_passage_repeats(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    phrase, tail = " ".join(word() for _ in range(7)), " ".join(word() for _ in range(11))
+    passage = f"{phrase} {' '.join(word() for _ in range(40))} {phrase} {tail}"
+    docs = spark.createDataFrame([(1, f"{phrase} {tail}"), (2, f"intro {phrase} {tail} {' '.join(word() for _ in range(50))} {phrase} end"), (3, f"{phrase} {' '.join(word() for _ in range(20))} {phrase}")], "doc_id bigint, text string")
+    items = spark.createDataFrame([("i", passage)], "item_id string, passage string")
+    got = {x.doc_id: (x.first_word, x.words) for x in leaked_passages(docs, items, "doc_id", "text").collect()}
+    assert got == {1: (0, 18), 2: (1, 18)}
+
+
+def test_longest_stretch_against_all_stretches():
+    r = random.Random(8)
+    for _ in range(2000):
+        matched = [r.random() < 0.85 for _ in range(r.randrange(0, 40))]
+        best = None
+        for a in range(len(matched)):
+            for b in range(a + 1, len(matched) + 1):
+                if matched[a] and matched[b - 1] and b - a >= 5 and matched[a:b].count(False) <= 0.1 * (b - a) + 1e-9 and (best is None or b - a > best[1]):
+                    best = (a, b - a)
+        assert _longest(matched, 5, 0.1) == best
+
+
+def test_memory_of_a_large_batch():
+    index = PassageIndex([words_of(PASSAGE)], 6)
+    texts = [" ".join(f"w{n * m % 9973}" for m in range(1500)) for n in range(1500)] + [PASSAGE]  # 12 MB
+    tracemalloc.start()
+    found = list(_scan(map(words_of, texts), index, 12, 0.1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [n for n, *_ in found] == [1500]
+    assert peak < 100 << 20
 
 
 def test_altered_dress(spark):
