@@ -1,9 +1,10 @@
-"""Which records a run has to process: the diff of two manifests.
+"""Which records a run has to process: the diff of two versions of a table of file states.
 
-A manifest lists immutable things by key with a signature. Comparing the manifest that was last
-committed with the newest one gives added, modified and deleted keys, and comparing it again
-after the commit gives nothing. ``known_manifest`` reduces an append-only index log to the state
-that successful runs committed; ``newest_manifest`` reduces scan logs to the newest scan.
+``known_manifest`` reduces an append-only index log to the state that successful runs committed,
+``newest_manifest`` reduces scan logs to the newest scan. ``files_to_process`` makes both versions
+of one table: files of states that are the same are in both manifests, changed and missing states
+have deletion vectors, new ones are in added files. The diff of the manifests gives the record
+deltas, and the sink saves the version it has processed in the commit of its output.
 """
 
 from __future__ import annotations
@@ -13,23 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quern.functions.identity import whole_seconds
-
-
-def diff_manifests(old: DataFrame, new: DataFrame, keys: list[str], signature: list[str]) -> DataFrame:
-    """``keys`` + ``change`` (``added``, ``modified``, ``deleted``) of each key whose state differs.
-
-    Both sides must have one row per key (the builders below see to it). Signatures are compared
-    null-safe; rows with a null key belong to no file and are dropped. One full outer join on
-    the keys, so no key can gather more than two rows.
-    """
-    old = old.select(*keys, F.struct(*signature).alias("__old")).na.drop(subset=keys)
-    new = new.select(*keys, F.struct(*signature).alias("__new")).na.drop(subset=keys)
-    change = (
-        F.when(F.col("__old").isNull(), "added")
-        .when(F.col("__new").isNull(), "deleted")
-        .when(~F.col("__old").eqNullSafe(F.col("__new")), "modified")
-    )
-    return old.join(new, keys, "full").select(*keys, change.alias("change")).filter("change is not null")
+from quern.runtime import scratch_folder
+from quern.sources.versioned import VersionedTable, net_changes, process
 
 
 def latest_run_states(runs: DataFrame) -> DataFrame:
@@ -89,9 +75,15 @@ def files_to_process(files: DataFrame, runs: DataFrame, scans: DataFrame) -> Dat
     Depends only on committed state: rows that failed or running runs wrote are not known, so a
     repeated run gives the same rows until one of state ``ok`` has committed them. Repositories
     without any scan are left alone. Empty inputs give no rows (no scans) or all scanned paths as
-    ``added`` (no files or runs).
+    ``added`` (no files or runs). Both tables are written below the shared folder.
     """
+    spark, keys = scans.sparkSession, ["repo_root", "path"]
+    folder = scratch_folder(spark, "states")
+    states, due = VersionedTable(spark, f"{folder}/states"), VersionedTable(spark, f"{folder}/due")
     scanned = scans.filter("repo_root is not null and scan_id is not null").select("repo_root").distinct()
     known = known_manifest(files, runs).join(scanned, "repo_root", "left_semi")
-    return diff_manifests(known, newest_manifest(scans), ["repo_root", "path"], ["mtime", "size"])
-
+    due.mark({"processed:states": states.append(known)})  # what runs of state ok have processed
+    states.replace(newest_manifest(scans).select(*known.columns), keys)
+    process(states, due, lambda delta: net_changes(delta, keys), "states")
+    found = due.read()
+    return spark.createDataFrame([], "repo_root string, path string, change string") if found is None else found

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.embed import Embedder, HashingEmbedder, embed
-from quern.operators.increments import diff_manifests
 from quern.operators.store import embed_split
 from quern.operators.syntax import chunk_syntax
-from quern.runtime import cut_lineage
+from quern.runtime import cut_lineage, cut_table
 from quern.sources.ignore import load_gitignore
-from quern.sources.tree import scan_tree
-from quern.sources.versioned import VersionedTable
+from quern.sources.tree import list_tree, scan_tree
+from quern.sources.versioned import VersionedTable, net_changes, process
+
+KEYS = ["repo_root", "path"]
 
 
 @dataclass
@@ -31,10 +32,12 @@ class IndexResult:
 
 
 class Indexer:
-    """Keeps the index of one tree: ``locations``, ``cache`` and ``snapshot`` below ``store``.
+    """Keeps the index of one tree: ``snapshot``, ``cache`` and ``locations`` below ``store``.
 
-    The snapshot is committed last. A run that fails before has at most added vectors to the
-    content-addressed cache and locations the next run replaces; it processes the same files again.
+    ``snapshot`` holds the newest state of every file. ``locations`` processes its changes and
+    saves the processed version in the commit that replaces the changed files' rows, so a run that
+    fails before has at most added vectors to the content-addressed cache, and the next one
+    processes the same files again.
     """
 
     def __init__(self, spark: SparkSession, root: str, store: str, embedder: Embedder | None = None):
@@ -42,41 +45,75 @@ class Indexer:
         self.embedder = embedder or HashingEmbedder()
         self.locations, self.cache, self.snapshot = (VersionedTable(spark, f"{store}/{n}") for n in ("locations", "cache", "snapshot"))
 
-    def _scan(self) -> DataFrame:
-        return scan_tree(self.spark, self.root, load_gitignore(self.root), code_only=True)
+    def _content(self, paths: list[str] | None = None) -> DataFrame:
+        """The code files of the tree, or those of ``paths``, each read once."""
+        return cut_table(scan_tree(self.spark, self.root, load_gitignore(self.root), code_only=True, with_content=True, paths=paths), "content")
+
+    def _look(self, force: bool) -> DataFrame | None:
+        """Commit the newest state of the tree; returns the content of the files that were read.
+
+        Only files that are new or whose size or time of change (in milliseconds) differs are read,
+        all of them with ``force`` and in the first run.
+        """
+        known = None if force else self.snapshot.read()
+        if known is None:
+            fresh = self._content()
+            self.snapshot.replace(fresh.drop("content"), KEYS)
+            return fresh
+        listed = cut_lineage(list_tree(self.spark, self.root, load_gitignore(self.root), code_only=True))
+        same = [*KEYS, "size", "mtime_ms"]
+        # the listing is on the driver anyway, as the file index of the scan
+        paths = [r["path"] for r in listed.join(known, same, "left_anti").select("path").collect()]
+        fresh = self._content(paths) if paths else None
+        state = listed.select(*same).join(known, same)
+        self.snapshot.replace(state.select(*known.columns) if fresh is None else state.select(*known.columns).unionByName(fresh.drop("content")), KEYS)
+        return fresh
 
     def index(self, force: bool = False) -> IndexResult:
         """Bring the index up to date; ``force`` indexes every file anew."""
         began = time.time()
-        seen = cut_lineage(self._scan())
-        known = None if force else self.snapshot.read()
-        if known is None:
-            changes = seen.select("repo_root", "path", F.lit("added").alias("change"))
-            kind = "full"
-        else:
-            changes = diff_manifests(known, seen, ["repo_root", "path"], ["hash"])
-            kind = "incremental"
-        changes = cut_lineage(changes)
-        counts = {r["change"]: r["n"] for r in changes.groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if not counts and kind == "incremental":
-            return IndexResult("none", seconds=time.time() - began)
-        fresh = changes.filter("change <> 'deleted'").select("repo_root", "path")
-        content = scan_tree(self.spark, self.root, load_gitignore(self.root), code_only=True, with_content=True)
-        chunks = cut_lineage(chunk_syntax(content.join(fresh, ["repo_root", "path"], "left_semi")))
+        fresh = self._look(force)
+        first = force or "processed:snapshot" not in self.locations.manifest()["meta"]
+        result = IndexResult("none")
+
+        def places(delta: DataFrame) -> DataFrame | None:
+            changes = cut_lineage(net_changes(delta, KEYS, ["hash"]))
+            counts = {r["change"]: r["n"] for r in changes.groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()}
+            result.files_processed, result.files_deleted = counts.get("added", 0) + counts.get("modified", 0), counts.get("deleted", 0)
+            if first or counts:
+                result.change_type = "full" if first else "incremental"
+            # a file whose content is the same keeps its rows: the commit replaces them by themselves
+            kept = delta.filter("_change = 'insert'").join(changes, KEYS, "left_anti").select(*KEYS)
+            old = None if first else self.locations.read()
+            kept = None if old is None else old.join(kept, KEYS, "left_semi")
+            wanted = changes.filter("change <> 'deleted'").select(*KEYS)
+            # a failed run may have committed states whose content it did not process
+            missing = [r["path"] for r in (wanted if fresh is None else wanted.join(fresh.select(*KEYS), KEYS, "left_anti")).select("path").collect()]
+            content = fresh
+            if missing:
+                content = self._content(missing) if fresh is None else fresh.unionByName(self._content(missing))
+            if content is None or not result.files_processed:
+                return kept
+            new = self._places(content.join(wanted, KEYS, "left_semi"), int(began), result)
+            return new if kept is None else kept.select(*new.columns).unionByName(new)
+
+        process(self.snapshot, self.locations, places, "snapshot", KEYS, again=first)
+        result.seconds = time.time() - began
+        return result
+
+    def _places(self, content: DataFrame, now: int, result: IndexResult) -> DataFrame:
+        """The locations of the chunks of files, after vectors of new chunks were put into the cache."""
+        chunks = cut_lineage(chunk_syntax(content))
         cached = self.cache.read()
-        empty = self.spark.createDataFrame([], "content_hash string")
-        split = cut_lineage(embed_split(chunks, empty if cached is None else cached))
+        split = cut_lineage(embed_split(chunks, self.spark.createDataFrame([], "content_hash string") if cached is None else cached))
         missing = split.filter("action = 'embed'").select("content_hash", "content").dropDuplicates(["content_hash"])
         vectors = cut_lineage(embed(missing, self.embedder, "content_hash", "content"))
-        embedded = vectors.count()
-        if embedded:
-            self.cache.append(vectors.withColumn("created_at", F.lit(int(began)).cast("bigint")))
-        places = split.filter("action <> 'skipped'").select("repo_root", "path", "start_line", "end_line", "content_hash", "node_type", "node_name", "language").withColumn("created_at", F.lit(int(began)).cast("bigint"))
-        old = None if force else self.locations.read()
-        self.locations.rewrite(places if old is None else old.join(changes, ["repo_root", "path"], "left_anti").unionByName(places))
-        self.snapshot.rewrite(seen)
+        result.chunks_embedded = vectors.count()
+        if result.chunks_embedded:
+            self.cache.append(vectors.withColumn("created_at", F.lit(now).cast("bigint")))
         by = {r["action"]: r["n"] for r in split.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
-        return IndexResult(kind, counts.get("added", 0) + counts.get("modified", 0), counts.get("deleted", 0), sum(by.values()), by.get("hit", 0), embedded, by.get("skipped", 0), time.time() - began)
+        result.chunks_created, result.cache_hits, result.chunks_skipped = sum(by.values()), by.get("hit", 0), by.get("skipped", 0)
+        return split.filter("action <> 'skipped'").select(*KEYS, "start_line", "end_line", "content_hash", "node_type", "node_name", "language").withColumn("created_at", F.lit(now).cast("bigint"))
 
     def stats(self) -> dict:
         """Totals of the index, and its locations by type and language."""

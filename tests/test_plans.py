@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 
@@ -61,6 +63,44 @@ def test_indexer_lifecycle(spark, tmp_path):
     assert TOOLS["search_semantic"](Indexer(spark, str(root), str(tmp_path / "none")), "x") == {"available": False, "error": "no index"}
 
 
+def test_second_run_reads_no_content(spark, tmp_path, monkeypatch):
+    from quern.plans import indexer
+
+    root = tmp_path / "repo"
+    root.mkdir()
+    for name in ("a.go", "b[1].go", "c.go"):
+        (root / name).write_text(GO.replace("hello", "f" + name[0]))
+    read = []
+    scan = indexer.scan_tree
+    monkeypatch.setattr(indexer, "scan_tree", lambda *a, **k: read.append(k.get("paths")) or scan(*a, **k))
+    index = Indexer(spark, str(root), str(tmp_path / "store"))
+    index.index()
+    assert read == [None]
+    assert index.index().change_type == "none" and read == [None]
+    (root / "b[1].go").write_text(GO.replace("hello", "another"))
+    os.utime(root / "c.go", (1, 1))  # touched, with the same content
+    got = index.index()
+    assert (got.change_type, got.files_processed) == ("incremental", 1) and sorted(read[-1]) == ["b[1].go", "c.go"]
+    assert {r.node_name for r in index.locations.read().filter("node_type = 'function_declaration'").collect()} == {"fa", "another", "fc"}
+    assert index.index().change_type == "none" and len(read) == 2
+
+
+def test_run_that_failed_is_done_again(spark, tmp_path):
+    root = tmp_path / "repo"
+    root.mkdir()
+    (root / "a.go").write_text(GO)
+    index = Indexer(spark, str(root), str(tmp_path / "store"))
+    index.index()
+    (root / "a.go").write_text(GO.replace("hello", "another"))
+    failing = Indexer(spark, str(root), str(tmp_path / "store"))
+    failing._places = None
+    with pytest.raises(TypeError):
+        failing.index()
+    assert {r.node_name for r in index.locations.read().filter("node_type = 'function_declaration'").collect()} == {"hello"}
+    assert index.index().files_processed == 1 and index.index().change_type == "none"
+    assert {r.node_name for r in index.locations.read().filter("node_type = 'function_declaration'").collect()} == {"another"}
+
+
 def test_index_recall_on_clusters(spark):
     r = np.random.default_rng(0)
     centres = r.normal(size=(8, 16))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quern.sources.ignore import ignored_by, parse_gitignore
 from quern.sources.records import IndexSettings, Registry, read_cases, read_tags
 from quern.sources.tree import scan_tree
-from quern.sources.versioned import CommitConflict, VersionedTable, process
+from quern.sources.versioned import CommitConflict, VersionedTable, net_changes, process
 
 
 def test_gitignore(spark):
@@ -102,3 +102,33 @@ def test_processing_survives_failures(spark, tmp_path):
     with pytest.raises(CommitConflict):
         process(source, sink, overtaken)
     assert sink.read().filter("id = 7").count() == 1
+
+
+def test_torn_manifest_is_no_version(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    t.append(spark.range(3))
+    torn = tmp_path / "t" / "_manifests" / "v000000000002.json"
+    for text in ("", '{"files": {'):
+        torn.write_text(text)
+        assert t.version() == 1 and t.read().count() == 3
+    assert t.append(spark.range(3, 5)) == 2 and t.read().count() == 5
+    with pytest.raises(CommitConflict):
+        t._commit(2, {"files": {}, "meta": {}})
+    assert t.read().count() == 5
+    assert sorted(f for f in os.listdir(tmp_path / "t" / "_manifests") if not f.endswith(".crc")) == ["v000000000001.json", "v000000000002.json"]
+
+
+def test_replace_keeps_what_is_the_same(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    state = lambda rows: spark.createDataFrame(rows, "root string, path string, size int")
+    assert t.replace(state([("r", "a", 1), ("r", "b", 2), ("r", "c", None), (None, "x", 1)]), ["root", "path"]) == 1
+    assert t.replace(state([("r", "c", None), ("r", "b", 2), ("r", "a", 1)]), ["root", "path"]) == 1
+    assert t.replace(state([("r", "a", 1), ("r", "b", 3), ("r", "d", None)]), ["root", "path"]) == 2
+    delta = t.changes(1, 2)
+    assert sorted((r._change, r.path) for r in delta.collect()) == [("delete", "b"), ("delete", "c"), ("insert", "b"), ("insert", "d")]
+    assert {tuple(r) for r in net_changes(delta, ["root", "path"]).collect()} == {("r", "b", "modified"), ("r", "c", "deleted"), ("r", "d", "added")}
+    assert sorted(map(tuple, t.read().collect())) == [("r", "a", 1), ("r", "b", 3), ("r", "d", None)]
+    assert t.replace(state([("r", "a", 1)]), ["root", "path"]) == 3
+    assert t.replace(state([("r", "a", 1), ("r", "b", 9)]), ["root", "path"]) == 4
+    assert sorted(map(tuple, t.read().collect())) == [("r", "a", 1), ("r", "b", 9)]
+    assert {tuple(r) for r in net_changes(t.changes(2, 4), ["root", "path"], ["size"]).collect()} == {("r", "b", "modified"), ("r", "d", "deleted")}
