@@ -1,12 +1,13 @@
 """Credentials embedded in source code and configuration (problem 1).
 
-Method: every chunk is parsed as bytes into entries (key path, byte offsets of the value): YAML,
-JSON, TOML, properties, env, XML and assignments in source code, with values that continue over
-lines. An entry is a credential if its key names a secret and the value has the shape of a literal
-(no placeholder, look-up, setting or plain word), or if the value alone gives it away: provider
-token shapes, signed tokens, URLs and connection strings with a password, authorization headers,
-command options, private key blocks. Redactions are spliced into the original bytes, so everything
-else stays as it is.
+Method: configuration (JSON, YAML, TOML, properties, INI, XML) is parsed into key paths with byte
+offsets (``formats``); of other texts the lines are read as assignments, as are comments and
+strings in configuration. An entry is a credential if its key path names a secret and the value
+has the shape of a literal (no placeholder, look-up, setting or plain word). Apart from keys, some
+values give themselves away: provider token shapes, signed tokens, URLs and connection strings with
+a password, authorization headers, command options, private key blocks. Redactions are spliced into
+the original bytes, so everything else stays as it is; they consist of letters only, so that every
+format still parses.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.formats import Rest, entries, format_of
 from quern.runtime import spread
 
 #: Words that name a secret wherever they stand in a key.
@@ -72,6 +75,10 @@ _ACCOUNT = re.compile(r"(?:ops|deploy|admin|root|app|etl|reader|writer|backup|se
 _BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"[A-Za-z0-9+/]{24,}")
+#: What may surround a line of key material: comment signs, quotes, escaped line breaks, joins.
+_DRESS = re.compile(r"""^[ \t]*(?:\#|//|\*|--|>)?[ \t]*["'`]?(?:\\[nr])*|(?:\\[nr])*["'`]?[ \t]*[+,.;\\]*[ \t\r]*$""")
+_MATERIAL = re.compile(r"[A-Za-z0-9+/=\\]+")
+_PEM_HEADER = re.compile(r"(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash|MessageID):")
 
 #: Keys may hold the second byte of ñ, which is no letter by itself.
 _ENTRY = re.compile(
@@ -82,6 +89,7 @@ _PROPERTY = re.compile(r"""\b(?:name|key|id)\s*=\s*["'](?P<key>[^"'\n]+)["'][^<>
 _NAMED = re.compile(r"""^[\s\-{"']*(?:name|key)["']?\s*[:=]\s*["']?(?P<key>[A-Za-z_][\w.\-\xb1]*)["']?,?\s*$""")
 _OPENED = re.compile(r"""(?P<q>["']?)(?P<key>[A-Za-z_][\w.\-\xb1]*)(?P=q)\]?\s*(?::\s*&?[\w.]+\s*)?(?::=|=|:)\s*(?:[|>][+\-]?\d?|\"\"\"|'''|`|\(|\\|["'])?\s*$""")
 
+_NAME = re.compile(r"[A-Za-z_][\w.\-\xb1\xc3]*")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _HOLDER = re.compile(
     r"(?i)^(?:$|x{3,}|\*+|\.{3,}|_+|-+|0+|1234\w*|n/?a|nil|null|none|true|false|yes|no|on|off|undefined|empty|changeme|change[_\-]?(?:me|it)|replace[_\-]?(?:me|this)?|todo|tbd|fixme|dummy|fake|sample|example|test(?:ing)?|placeholder|redacted|removed|hidden|masked|secret|password|passwd|token|default|foo(?:bar)?|bar|string|insert.*|your[_\-].*|my[_\-].*|enter[_\-].*|put[_\-].*)$"
@@ -171,6 +179,22 @@ def key_strength(key: str) -> int:
     return 1 if words[-1] in ("token", "key", "tokens", "keys") and len(words) <= 2 else 0
 
 
+#: Names that say nothing about their value; the key above them does.
+_GENERIC = {"value", "val", "default", "defaultvalue", "data", "plain", "plaintext", "literal", "raw", "content", "text", "current", "string"}
+
+
+def path_strength(path: tuple[str, ...]) -> int:
+    """``key_strength`` of the last telling key of a path; items of lists and generic names tell
+    nothing. A secret named by two keys together (``api``, ``key``) gives 1."""
+    keys = [re.sub(r"#\d+$", "", k) for k in path]
+    while len(keys) > 1 and (keys[-1].isdigit() or keys[-1].lower() in _GENERIC):
+        keys.pop()
+    own = key_strength(keys[-1]) if keys else 0
+    if own < 2 and len(keys) > 1 and key_strength(f"{keys[-2]}_{keys[-1]}") == 2:
+        return 1
+    return own
+
+
 def _decoded(value: str) -> str:
     """Printable text behind base64, else an empty string."""
     if len(value) < 12 or len(value) % 4 or not re.fullmatch(r"[A-Za-z0-9+/]+={0,2}", value):
@@ -256,18 +280,44 @@ def _entries(line: str, offset: int, source: bool, named: str) -> Iterator[tuple
 _SOURCE = {"go", "py", "ts", "tsx", "js", "jsx", "java", "rs", "c", "h", "cc", "cpp", "hpp", "cs", "rb", "php", "kt", "scala", "swift"}
 
 
+def _body_end(text: str, at: int) -> int:
+    """The end of the lines of key material from ``at`` on, for blocks without an END line."""
+    end, short = at, False
+    while at < len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        line = text[at:stop]
+        core = _DRESS.sub("", line)
+        if core and not _PEM_HEADER.match(core):
+            if short or not _MATERIAL.fullmatch(core):
+                break
+            # the last line may be short, but is no word
+            short = len(core) < 24
+            if short and not (core.endswith("=") or re.search(r"[\d+/]", core)):
+                break
+            end = at + len(line.rstrip())
+        at = stop + 1
+    return end
+
+
 def _blocks(text: str) -> Iterator[tuple[int, int, int]]:
-    """(begin line start, body start, body end) of private key blocks that have a body."""
+    """(begin line start, body start, body end) of private key blocks that have a body.
+
+    A block without END line ends with its last line of key material, however long it is.
+    """
     at = 0
     while m := _BEGIN.search(text, at):
         stop = _END.search(text, m.end())
         other = _BEGIN.search(text, m.end())
-        end = stop.start() if stop and not (other and other.start() < stop.start()) else (other.start() if other else min(len(text), m.end() + 8192))
+        if stop and not (other and other.start() < stop.start()):
+            end = stop.start()
+        else:
+            limit = other.start() if other else len(text)
+            end = min(limit, _body_end(text, m.end()))
         body = text[m.end() : end]
-        if _BODY.search(body) or not body.strip():
-            if body.strip() or m.end() >= len(text.rstrip()):
-                yield m.start(), m.end(), end
-        at = end if end > m.end() else m.end()
+        if any(len(set(x)) > 4 for x in _BODY.findall(body)) or (not body.strip() and m.end() >= len(text.rstrip())):
+            yield m.start(), m.end(), end
+        at = max(end, m.end())
 
 
 def _credential_pair(m: re.Match) -> bool:
@@ -285,23 +335,95 @@ def find_credentials(content: str | None, path: str | None = None) -> list[Findi
     pairs = [m for m in _PAIR.finditer(text) if _credential_pair(m)]
     if not folded and not exact and not pairs:
         return []
-    extension = (path or "").rsplit(".", 1)[-1].lower()
-    source = extension in _SOURCE
-    inner = list(_inner(text, extension)) if source else []
     found: list[Finding] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(text))
+    breaks = [m.start() for m in re.finditer("\n", text)]
 
     def add(start: int, end: int, kind: str, key: str) -> None:
-        if end > start and not any(a < end and start < b for a, b in taken):
-            taken.append((start, end))
-            found.append(Finding(start, end, text.count("\n", 0, start) + 1, kind, key))
+        if end > start and not any(taken[start:end]):
+            taken[start:end] = b"\1" * (end - start)
+            found.append(Finding(start, end, bisect_left(breaks, start) + 1, kind, key))
 
     if "PRIVATE KEY" in text:
         for begin, start, end in _blocks(text):
-            taken.append((begin, end))
-            found.append(Finding(start, end, text.count("\n", 0, begin) + 1, "private key", ""))
+            taken[begin:end] = b"\1" * (end - begin)
+            found.append(Finding(start, end, bisect_left(breaks, begin) + 1, "private key", ""))
     for m in pairs:
         add(m.start(2), m.end(2), "credential in text", "")
+    form = format_of(path)
+    if form:
+        _configuration(text, low, form, folded, exact, add)
+    else:
+        _lines(text, low, (path or "").rsplit(".", 1)[-1].lower(), folded, exact, add)
+    found.sort()
+    return found
+
+
+def _configuration(text: str, low: str, form: str, folded: list[str], exact: list[str], add) -> None:
+    """Credentials of a text in one of the formats: by key path, and by what values look like."""
+
+    def marked(start: int, end: int) -> bool:
+        return any(low.find(m, start, end) >= 0 for m in folded) or any(text.find(m, start, end) >= 0 for m in exact)
+
+    offset = 0
+    for line in text.split("\n"):
+        if len(line) > 3 and marked(offset, offset + len(line)):
+            _shapes(line, offset, add)
+        offset += len(line) + 1
+    parsed = entries(text, form)
+    named = _names(text, parsed)
+    inside: list[tuple[int, int]] = []
+    for number, e in enumerate(parsed):
+        if isinstance(e, Rest):
+            inside.append((e.start, e.end))
+            continue
+        path = e.path[:-1] + (named[number],) if number in named else e.path
+        strength = path_strength(path)
+        lines = [x.strip().rstrip("\\") for x in text[e.start : e.end].split("\n") if x.strip()]
+        value = "".join(lines)
+        if strength == 2 and len(lines) > 1:
+            if " " not in value and (password_like(value) or random_like(value) or mixed_case(value)):
+                add(e.start, e.end, "multi-line value", ".".join(path))
+        elif strength and _secret(value, strength):
+            add(e.start, e.end, "secret value", ".".join(path))
+        if len(value) > 3 and ("=" in value or ":" in value or "," in value or " " in value):
+            inside.append((e.start, e.end))
+    # comments, and strings that hold text of their own
+    for start, end in inside:
+        for line in text[start:end].split("\n"):
+            if marked(start, start + len(line)):
+                _keyed(text, line, start, False, "", add)
+                _prose(line, start, add)
+            start += len(line) + 1
+
+
+def _names(text: str, parsed: list) -> dict[int, str]:
+    """For entries that are the value of a name beside them: their number and that name."""
+    last: dict[tuple[str, ...], str] = {}
+    waiting: dict[tuple[str, ...], int] = {}
+    named: dict[int, str] = {}
+    for number, e in enumerate(parsed):
+        if isinstance(e, Rest) or not e.path:
+            continue
+        leaf = e.path[-1].lower()
+        if leaf in ("name", "key", "id", "variable") and _NAME.fullmatch(text[e.start : e.end]):
+            last[e.path[:-1]] = text[e.start : e.end]
+            if e.path[:-1] in waiting:
+                named[waiting.pop(e.path[:-1])] = text[e.start : e.end]
+        elif leaf in ("value", "val"):
+            if e.path[:-1] in last:
+                named[number] = last.pop(e.path[:-1])
+            else:
+                waiting[e.path[:-1]] = number
+        elif e.path in last:  # the text of an element that has a name
+            named[number] = last.pop(e.path)
+    return named
+
+
+def _lines(text: str, low: str, extension: str, folded: list[str], exact: list[str], add) -> None:
+    """Credentials of source code, scripts and prose, line by line."""
+    source = extension in _SOURCE
+    inner = list(_inner(text, extension)) if source else []
     offset, named, opened = 0, "", ""
     for line, lower in zip(text.split("\n"), low.split("\n"), strict=True):
         bare = line.strip()
@@ -329,8 +451,6 @@ def find_credentials(content: str | None, path: str | None = None) -> list[Findi
             m = _NAMED.match(line)
             named = m["key"] if m else ""
         offset += len(line) + 1
-    found.sort()
-    return found
 
 
 def _tokens(line: str, offset: int, add) -> None:
@@ -341,6 +461,13 @@ def _tokens(line: str, offset: int, add) -> None:
 
 
 def _line(text: str, line: str, offset: int, source: bool, named: str, add) -> None:
+    _shapes(line, offset, add)
+    _keyed(text, line, offset, source, named, add)
+    _prose(line, offset, add)
+
+
+def _shapes(line: str, offset: int, add) -> None:
+    """Credentials that are told by what they and their surroundings look like."""
     _tokens(line, offset, add)
     for m in _URL.finditer(line):
         # a password ends at the last @ before the host
@@ -368,30 +495,46 @@ def _line(text: str, line: str, offset: int, source: bool, named: str, add) -> N
     for m in _USER_OPTION.finditer(line):
         if literal(m[2]):
             add(offset + m.start(2), offset + m.end(2), "command option", "")
+
+
+def _secret(value: str, strength: int) -> bool:
+    """Whether the value of a key that names a secret (2) or may name one (1) is a credential."""
+    if value.startswith("-----BEGIN") or "://" in value:
+        return False
+    if strength == 1:
+        good = random_like(value)
+    else:
+        good = literal(value) and (re.search(r"\d", value) is not None or mixed_case(value) or (re.search(r"[^\w\s]", value) is not None and re.search(r"[A-Z]", value) is not None))
+    return good and not (" " in value and not password_like(value))
+
+
+def _keyed(text: str, line: str, offset: int, source: bool, named: str, add) -> None:
+    """Credentials in what a line assigns to keys."""
     for key, start, end in _entries(line, offset, source, named):
         strength = key_strength(key)
-        if not strength:
-            continue
-        value = text[start:end].strip()
-        if value.startswith("-----BEGIN") or "://" in value:
-            continue
-        good = literal(value) and (re.search(r"\d", value) is not None or mixed_case(value) or (re.search(r"[^\w\s]", value) is not None and re.search(r"[A-Z]", value) is not None))
-        if strength == 1:
-            good = random_like(value)
-        if good and not (" " in value and not password_like(value)):
+        if strength and _secret(text[start:end].strip(), strength):
             add(start, end, "secret value", key)
+
+
+def _prose(line: str, offset: int, add) -> None:
     for m in _PROSE.finditer(line):
         if password_like(m[1]) and not _SIGNED.search(m[1]) and "://" not in m[1]:
             add(offset + m.start(1), offset + m.end(1), "credential in text", "")
 
 
+_KEPT = re.compile(rb"[\r\n]+[ \t]*")
+
+
 def redact(content: str, findings: list[Finding]) -> str:
-    """The text with every credential blanked out, byte for byte; line breaks inside it are kept."""
+    """The text with every byte of a credential replaced by a letter; line breaks inside it and the
+    blanks that indent its lines are kept, so lines, columns and formats stay as they are."""
     data = bytearray(content.encode("utf-8", "surrogatepass"))
     for f in findings:
-        for at in range(f.start, f.end):
-            if data[at] not in (10, 13):
-                data[at] = 42
+        at = f.start
+        for kept in [*_KEPT.finditer(data, f.start, f.end), None]:
+            end = kept.start() if kept else f.end
+            data[at:end] = b"x" * (end - at)
+            at = kept.end() if kept else end
     return data.decode("utf-8", "surrogatepass")
 
 
