@@ -78,6 +78,7 @@ _BODY = re.compile(r"[A-Za-z0-9+/]{24,}")
 #: What may surround a line of key material: comment signs, quotes, escaped line breaks, joins.
 _DRESS = re.compile(r"""^[ \t]*(?:\#|//|\*|--|>)?[ \t]*["'`]?(?:\\[nr])*|(?:\\[nr])*["'`]?[ \t]*[+,.;\\]*[ \t\r]*$""")
 _MATERIAL = re.compile(r"[A-Za-z0-9+/=\\]+")
+_ESCAPED = re.compile(r"(?:\\[nr]|[A-Za-z0-9+/=])*")  # a block on one line, with escaped line breaks
 _PEM_HEADER = re.compile(r"(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash|MessageID):")
 
 #: Keys may hold the second byte of ñ, which is no letter by itself.
@@ -283,6 +284,8 @@ _SOURCE = {"go", "py", "ts", "tsx", "js", "jsx", "java", "rs", "c", "h", "cc", "
 def _body_end(text: str, at: int) -> int:
     """The end of the lines of key material from ``at`` on, for blocks without an END line."""
     end, short = at, False
+    if len((one := _ESCAPED.match(text, at))[0]) >= 24:
+        return one.end()
     while at < len(text):
         stop = text.find("\n", at)
         stop = len(text) if stop < 0 else stop
