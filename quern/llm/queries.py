@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions.identity import canonical_hash
 from quern.llm.handwritten import not_handwritten
 from quern.llm.leakage import leaked_passages, strip_stock
-from quern.llm.neighbours import nearest_vectors, neighbour_pairs
+from quern.llm.neighbours import nearest_pairs, nearest_vectors
 from quern.llm.packing import pack_items, token_counts
 from quern.llm.ranking import rank_items
 from quern.llm.secrets import credentials
@@ -43,7 +43,7 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbour_pairs(nearest_vectors(read_table(spark, sf_dir, "embedding_cache")))
+    return nearest_pairs(read_table(spark, sf_dir, "embedding_cache"))
 
 
 def p7_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
