@@ -229,6 +229,16 @@ def _first(query: np.ndarray, near: np.ndarray, cosine: np.ndarray, k: int) -> n
     return order[rank < k]
 
 
+def _chosen_products(queries: np.ndarray, base: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Inner products of the chosen pairs, -2 for the others; many are cheapest as one matrix product."""
+    if np.count_nonzero(chosen) * 20 > chosen.size:
+        return np.where(chosen, queries @ base.T, np.float32(-2))
+    out = np.full(chosen.shape, -2, np.float32)
+    i, j = np.nonzero(chosen)
+    out[i, j] = np.einsum("nd,nd->n", queries[i], base[j])
+    return out
+
+
 def search_bundle(ids: np.ndarray, raw: np.ndarray, home: np.ndarray, base: np.ndarray, asks: tuple[np.ndarray, np.ndarray], centroids: np.ndarray, k: int, cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, near row, cosine) of the ``k`` nearest base vectors of every query in its lists.
 
@@ -239,7 +249,7 @@ def search_bundle(ids: np.ndarray, raw: np.ndarray, home: np.ndarray, base: np.n
     v = unit(raw)
     rotate = rotation(raw.shape[1])
     least = np.full(len(ids), -2, np.float32)
-    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
     coded = {}
     for number in np.unique(home[base]):
         rows = np.flatnonzero(base & (home == number))
@@ -257,22 +267,20 @@ def search_bundle(ids: np.ndarray, raw: np.ndarray, home: np.ndarray, base: np.n
             step = max(1, cells // len(rows))
             for n in range(at, stop, step):
                 q = row[n : min(n + step, stop)]
-                i, j = np.nonzero(candidates(codes, scalars, v[q], centroids[number[at]], rotate, k + 1, least[q]))
-                other = ids[q[i]] != ids[rows[j]]
-                i, j = i[other], j[other]
-                cosine = np.concatenate([np.einsum("nd,nd->n", v[q[i[m : m + cells]]], v[rows[j[m : m + cells]]]) for m in range(0, max(1, len(i)), cells)])
-                first = _first(i, j, cosine, k)
-                last = np.full(len(q), 2, np.float32)
-                np.minimum.at(last, i[first], cosine[first])
-                last[np.bincount(i, minlength=len(q)) < k] = -2
-                least[q] = np.maximum(least[q], last - np.float32(2e-6))  # what single precision may hide
-                best = cosine >= least[q][i]
-                kept.append((q[i[best]], rows[j[best]], cosine[best]))
+                chosen = candidates(codes, scalars, v[q], centroids[number[at]], rotate, k + 1, least[q])
+                chosen &= ids[q][:, None] != ids[rows][None, :]
+                cosine = _chosen_products(v[q], v[rows], chosen)
+                if len(rows) >= k:
+                    last = np.partition(cosine, len(rows) - k, axis=1)[:, len(rows) - k]
+                    least[q] = np.maximum(least[q], last - np.float32(2e-6))  # what single precision may hide
+                i, j = np.nonzero(chosen & (cosine >= least[q][:, None]))
+                kept.append((q[i], rows[j]))
     if not kept:
         none = np.empty(0, np.int64)
         return none, none, np.empty(0)
-    query, near, cosine = (np.concatenate(c) for c in zip(*kept, strict=True))
-    good = cosine >= least[query]
+    query, near = (np.concatenate(c) for c in zip(*kept, strict=True))
+    single = np.concatenate([np.einsum("nd,nd->n", v[query[m : m + cells]], v[near[m : m + cells]]) for m in range(0, max(1, len(query)), cells)])
+    good = single >= least[query] - np.float32(1e-6)
     query, near = query[good], near[good]
     exact = raw.astype(np.float64)
     norms = np.linalg.norm(exact, axis=1)
