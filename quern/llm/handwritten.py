@@ -38,6 +38,9 @@ _NO_NAME = set("version ver since release released revision rev license licence
 _COMMENT = re.compile(r"#(?!\s*(?:include|define|undef|if|ifdef|ifndef|pragma|import|region|using)\b|\[)|//|\*|--|;|%|<\?(?:php|xml)|<!DOCTYPE|[\"']use strict")
 _BLOCKS = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''", "{-": "-}", "(*": "*)", "--[[": "]]", "=begin": "=end"}
 _NUMBER = re.compile(r"0x[0-9a-fA-F]+|\d+(?:\.\d+)?")
+#: A name or hexadecimal constant with a number in it, after numbers became 0: programs number names, people number arguments.
+_NUMBERED = re.compile(r"[A-Za-z_]0")
+_ASSERTION = re.compile(r"(?i)(?:\w+\.)*(?:assert|expect|check|require|test|it|should|must)\w*\b")
 _DATA = re.compile(r"""(?:[\s\-+\d.,;:(){}\[\]'"xXa-fA-F]*\d[\s\-+\d.,;:(){}\[\]'"xXa-fA-F]*|["']?[A-Za-z0-9+/=_\\]{24,}["']?[,;+\\]?|(?i:insert into)\b.*|\(.*\)[,;])$""")
 
 #: Lines shorter than this say too little to tell where they come from.
@@ -46,7 +49,7 @@ LINE_LEAST = 16
 #: Lines in more libraries than this belong to none of them.
 SHARED_MOST = 8
 
-_FEATURES = "hash string, lines int, chars bigint, blanks bigint, skeleton int, data int, generated boolean, library string, comment boolean, rare array<bigint>"
+_FEATURES = "hash binary, lines int, chars bigint, blanks bigint, skeleton int, data int, generated boolean, library string, comment boolean, rare array<bigint>"
 
 
 def _leading(lines: list[str]) -> tuple[list[str], bool]:
@@ -75,7 +78,7 @@ def composition(text: str, first: bool) -> tuple[int, int, int, int, int, bool,
     match = _LIBRARY.match(lines[0]) if first and lines else None
     match = match or next((m for x in leading if (m := _LATER.match(x)) and m[1].lower() not in _NO_NAME), None)
     count = Counter(_NUMBER.sub("0", "\n".join(lines)).split("\n"))
-    skeleton = sum(n for s, n in count.items() if n >= 4 and "0" in s and len(s) > 6)
+    skeleton = sum(n for s, n in count.items() if n >= 4 and len(s) > 6 and _NUMBERED.search(s) and not _ASSERTION.match(s))
     data = sum(_DATA.match(x) is not None for x in lines)
     hashes = {xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in lines if len(x) >= LINE_LEAST}
     blanks = len(text) - len("".join(text.split()))
@@ -86,6 +89,11 @@ def _extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./\\]*)$", 1))
 
 
+def _key(*columns: Column) -> Column:
+    """16 bytes for a combination of texts; null if any is null."""
+    return F.unhex(F.md5(F.concat(*[x for c in columns for x in (c, F.lit("\0"))])))
+
+
 def chunk_features(chunks: DataFrame) -> DataFrame:
     """One row of counts and line hashes for every distinct content of a code file."""
 
@@ -94,7 +102,7 @@ def chunk_features(chunks: DataFrame) -> DataFrame:
             rows = [(h, *composition(t, s <= 3)) for h, t, s in zip(batch["hash"], batch["content"], batch["start_line"], strict=True)]
             yield pd.DataFrame(rows, columns=["hash", "lines", "chars", "blanks", "skeleton", "data", "generated", "library", "comment", "rare"])
 
-    code = chunks.filter(~_extension(F.col("path")).isin(*NOT_CODE)).select(canonical_hash(F.col("content_hash")).alias("hash"), "content", F.coalesce("start_line", F.lit(1)).alias("start_line"))
+    code = chunks.filter(~_extension(F.col("path")).isin(*NOT_CODE)).select(_key(canonical_hash(F.col("content_hash"))).alias("hash"), "content", F.coalesce("start_line", F.lit(1)).alias("start_line"))
     seen = spread(code.filter("hash is not null and content is not null")).mapInPandas(look, _FEATURES)
     kept = [c.split()[0] for c in _FEATURES.split(", ")[1:]]
     one = F.max_by(F.struct(*kept), F.struct(F.col("generated"), F.col("library").isNotNull(), F.col("lines"))).alias("f")
@@ -102,19 +110,18 @@ def chunk_features(chunks: DataFrame) -> DataFrame:
 
 
 def _companions(files: DataFrame, named: DataFrame) -> DataFrame:
-    """``hash, of``: contents of files without a banner that come with a library.
+    """``n, of``: contents of files without a banner that come with a library.
 
     They lie in the folder of its bannered file in at least two repositories, in more than half of
     the repositories that hold them and in a quarter of those that hold the library; code that the
     repositories' people copied, and that lies beside a library here and there, does not.
     """
-    folder = F.regexp_extract("path", r"^(.*?)[^/\\\\]*$", 1)
-    homes = named.select("repo_root", folder.alias("folder"), "of").distinct()
-    spread_of = homes.groupBy("of").agg(F.countDistinct("repo_root").alias("homes")).filter("homes > 1")
-    bare = files.filter(F.col("total") >= 3).join(named, ["repo_root", "path"], "left_anti").select("repo_root", folder.alias("folder"), "hash").distinct()
-    beside = bare.join(homes.join(spread_of, "of"), ["repo_root", "folder"]).groupBy("hash", "of").agg(F.countDistinct("repo_root").alias("n"), F.max("homes").alias("homes")).filter("n > 1 and 4 * n >= homes")
-    held = files.select("hash", "repo_root").join(beside.select("hash").distinct(), "hash").groupBy("hash").agg(F.countDistinct("repo_root").alias("held"))
-    return beside.join(held, "hash").filter("2 * n > held").select("hash", "of")
+    homes = files.join(named, "file").select("repo", "folder", "of").distinct()
+    spread_of = homes.groupBy("of").agg(F.countDistinct("repo").alias("homes")).filter("homes > 1")
+    bare = files.filter(F.col("total") >= 3).join(named, "file", "left_anti").select("repo", "folder", "n").distinct()
+    beside = bare.join(homes.join(spread_of, "of"), ["repo", "folder"]).groupBy("n", "of").agg(F.countDistinct("repo").alias("beside"), F.max("homes").alias("homes")).filter("beside > 1 and 4 * beside >= homes")
+    held = files.select("n", "repo").join(beside.select("n").distinct(), "n").groupBy("n").agg(F.countDistinct("repo").alias("held"))
+    return beside.join(held, "n").filter("2 * beside > held").select("n", "of")
 
 
 def _known_lines(lines: DataFrame, contained: float) -> DataFrame:
@@ -149,34 +156,38 @@ def not_handwritten(locations: DataFrame, chunks: DataFrame, contained: float =
     repo_root, path or hash, and configuration and prose are no cases. Rows written again count
     once. Empty tables give no rows; extra columns are ignored.
     """
-    features = cut_lineage(chunk_features(chunks))
-    keyed = lambda df: df.select("repo_root", "path", F.coalesce("start_line", F.lit(1)).alias("start"), canonical_hash(F.col("content_hash")).alias("hash")).filter("repo_root <> '' and path <> '' and hash is not null")
-    places = keyed(locations).filter(~_extension(F.col("path")).isin(*NOT_CODE))
-    listed = locations.filter("repo_root <> '' and path <> ''").select("repo_root", "path").distinct()
-    own = keyed(chunks).join(listed, ["repo_root", "path"], "left_semi")
-    parts = places.unionByName(own).groupBy("repo_root", "path", "hash").agg(F.min("start").alias("start"))
-    counts = features.withColumn("total", F.size("rare")).drop("rare")
-    placed = cut_lineage(parts.join(counts, "hash").select("repo_root", "path", "hash", "start", "lines", "chars", "blanks", "skeleton", "data", "generated", "library", "comment", "total"))
+    # contents get numbers, files and folders keys of a few bytes: names come back at the end
+    features = cut_lineage(cut_lineage(chunk_features(chunks)).withColumn("n", F.monotonically_increasing_id()))
+    named_rows = lambda df: df.filter("repo_root <> '' and path <> ''")
+    file = _key(F.col("repo_root"), F.col("path")).alias("file")
+    folder = F.xxhash64("repo_root", F.regexp_extract("path", r"^(.*?)[^/\\\\]*$", 1)).alias("folder")
+    keyed = lambda df: named_rows(df).select(file, F.xxhash64("repo_root").alias("repo"), folder, F.coalesce("start_line", F.lit(1)).alias("start"), _key(canonical_hash(F.col("content_hash"))).alias("hash")).filter("hash is not null")
+    places = keyed(locations.filter(~_extension(F.col("path")).isin(*NOT_CODE)))
+    listed = named_rows(locations).select(file).distinct()
+    own = keyed(chunks).join(listed, "file", "left_semi")
+    parts = places.unionByName(own).groupBy("file", "hash").agg(F.min("start").alias("start"), F.first("repo").alias("repo"), F.first("folder").alias("folder"))
+    counts = features.select("hash", "n", "lines", "chars", "blanks", "skeleton", "data", "generated", "library", "comment", F.size("rare").alias("total"))
+    placed = cut_lineage(parts.join(counts, "hash").drop("hash"))
     # banners count up to the part in which the first code of the file lies
-    late = placed.filter((F.col("generated") | F.col("library").isNotNull()) & (F.col("start") > 3)).select("repo_root", "path", "hash", "start")
-    code = placed.join(broadcast_if_small(late.select("repo_root", "path").distinct()), ["repo_root", "path"], "left_semi").groupBy("repo_root", "path").agg(F.min(F.when(~F.col("comment"), F.col("start"))).alias("code"))
-    void = cut_lineage(late.join(code, ["repo_root", "path"]).filter("start > code").select("repo_root", "path", "hash", F.lit(True).alias("void")))
-    files = placed.join(broadcast_if_small(void), ["repo_root", "path", "hash"], "left")
+    late = placed.filter((F.col("generated") | F.col("library").isNotNull()) & (F.col("start") > 3)).select("file", "n", "start")
+    code = placed.join(broadcast_if_small(late.select("file").distinct()), "file", "left_semi").groupBy("file").agg(F.min(F.when(~F.col("comment"), F.col("start"))).alias("code"))
+    void = cut_lineage(late.join(code, "file").filter("start > code").select("file", "n", F.lit(True).alias("void")))
+    files = placed.join(broadcast_if_small(void), ["file", "n"], "left")
     files = files.withColumn("generated", F.col("generated") & F.col("void").isNull()).withColumn("library", F.when(F.col("void").isNull(), F.col("library"))).drop("void", "start", "comment")
     # libraries: the contents of files that carry a library's banner, and of files that come with them
-    named = files.filter("library is not null").groupBy("repo_root", "path").agg(F.min("library").alias("of"))
-    members = files.join(named, ["repo_root", "path"]).select("hash", "of").unionByName(_companions(files, named)).distinct()
-    known = _known_lines(members.join(features.select("hash", "rare"), "hash").select("of", F.explode("rare").alias("line")).distinct(), contained)
+    named = cut_lineage(files.filter("library is not null").groupBy("file").agg(F.min("library").alias("of")))
+    members = files.select("file", "n").join(named, "file").select("n", "of").unionByName(_companions(files, named)).distinct()
+    known = _known_lines(members.join(features.select("n", "rare"), "n").select("of", F.explode("rare").alias("line")).distinct(), contained)
     # hits by library; those of no library are lines that say nothing
-    hits = features.select("hash", F.explode("rare").alias("line")).join(known, "line").select("hash", F.explode_outer("names").alias("of")).groupBy("hash", "of").agg(F.count(F.lit(1)).alias("hits"))
-    total = files.groupBy("repo_root", "path").agg(
+    hits = features.select("n", F.explode("rare").alias("line")).join(known, "line").select("n", F.explode_outer("names").alias("of")).groupBy("n", "of").agg(F.count(F.lit(1)).alias("hits"))
+    total = files.groupBy("file").agg(
         *[F.sum(c).alias(c) for c in ("lines", "chars", "blanks", "skeleton", "data", "total")],
         F.max("generated").alias("generated"),
         F.max(F.col("library").isNotNull()).alias("banner"),
     )
     best = (
-        files.select("repo_root", "path", "hash").join(hits, "hash").groupBy("repo_root", "path", "of").agg(F.sum("hits").alias("hits"))
-        .groupBy("repo_root", "path").agg(F.max(F.when(F.col("of").isNotNull(), F.col("hits"))).alias("hits"), F.max(F.when(F.col("of").isNull(), F.col("hits"))).alias("common"))
+        files.select("file", "n").join(hits, "n").groupBy("file", "of").agg(F.sum("hits").alias("hits"))
+        .groupBy("file").agg(F.max(F.when(F.col("of").isNotNull(), F.col("hits"))).alias("hits"), F.max(F.when(F.col("of").isNull(), F.col("hits"))).alias("common"))
     )
     telling = F.col("total") - F.coalesce("common", F.lit(0))
     reason = (
@@ -185,4 +196,6 @@ def not_handwritten(locations: DataFrame, chunks: DataFrame, contained: float =
         .when((F.col("chars") >= long_line * F.col("lines")) & (F.col("blanks") < 0.1 * F.col("chars")), "minified")
         .when((F.col("lines") >= 5) & (F.col("data") >= literal * F.col("lines")), "data")
     )
-    return total.join(best, ["repo_root", "path"], "left").withColumn("hits", F.coalesce("hits", F.lit(0))).select("repo_root", "path", reason.alias("reason")).filter("reason is not null")
+    told = total.join(best, "file", "left").withColumn("hits", F.coalesce("hits", F.lit(0))).select("file", reason.alias("reason")).filter("reason is not null")
+    names = named_rows(locations).select(file, "repo_root", "path").groupBy("file").agg(F.min(F.struct("repo_root", "path")).alias("name"))
+    return told.join(names, "file").select("name.repo_root", "name.path", "reason")

@@ -84,6 +84,31 @@ def test_library_under_two_names_and_in_a_bundle(spark):
     assert {("r4", "copy.js"), ("r4", "part.js"), ("r7", "theirs.js")} <= got and ("r7", "mine.js") not in got
 
 
+def test_patched_copies_with_one_and_with_two_banners(spark):
+    def patched(n):
+        lines = code(41, 60).split("\n")
+        lines[n : n + 3] = [f"    local patch number {n} of this repository only"]
+        return "\n".join(lines)
+
+    copies = {(f"r{n}", f"src/d{n}/copy.js"): patched(3 * n) for n in range(7)}
+    first = copies | {("r8", "deps/fast.js"): "// fastlib 1.4.2\n" + code(41, 60)}
+    assert set(_reasons(spark, first)) == set(first)
+    second = first | {("r9", "deps/other.js"): "// otherlib 2.0.1\n" + code(41, 60) + "\n" + code(42, 30)}
+    assert set(_reasons(spark, second)) == set(second)
+    # without any banner nothing tells a library from code that people copied
+    assert _reasons(spark, copies) == {}
+
+
+def test_tables_written_by_hand(spark):
+    files = {
+        ("r", "a_test.py"): "def test_add():\n" + "\n".join(f"    assert add({n}, {n + 1}) == {2 * n + 1}" for n in range(12)),
+        ("r", "b.spec.ts"): "\n".join(f"  expect(area{n}({n})).toBe({n * n});" for n in range(20)),
+        ("r", "prices.go"): "\n".join(f"\taddPrice(\"apple\", {n * 3}, {n})" for n in range(20)),
+        ("r", "gen.go"): "\n".join(f"\tset_field_{n}(m, {n})" for n in range(20)),
+    }
+    assert _reasons(spark, files) == {("r", "gen.go"): "generated"}
+
+
 LICENCE = [f"Permission line {w} of a licence header" for w in "one two three four five six seven eight".split()]
 
 
