@@ -28,7 +28,10 @@ from pyspark.sql import functions as F
 from quern.runtime import cut_lineage, hash_sample, spread
 
 BUCKETS, DIM = 1 << 15, 16
-_FENCE = re.compile(r"(?ms)^[^\w\n]*```.*?(?:^[^\w\n]*```|\Z)")
+LONGEST_CODE = 240
+_FENCE = re.compile(r"(?ms)^[^\w\n]*```.*?^[^\w\n]*```")
+#: A fence that is never closed ends before the next paragraph of prose.
+_OPEN_FENCE = re.compile(r"(?ms)^[^\w\n]*```.*?(?:\n[ \t]*\n(?=[^\n{}=;]{20,}[.?!][ \t]*$)|\Z)")
 _SPAN = re.compile(r"`[^`\n]*`")
 _COMMIT = re.compile(r"^\W*[a-z]+(?:\([^)\s]*\))?!?:(?= )")
 _CODE = re.compile(r"[{}=]|;\s*$|\w\(|::|->")
@@ -38,14 +41,25 @@ _CAMEL = re.compile(r"[a-zß-ÿ][A-Z]")
 
 
 def sentences(text: str | None, least: int = 3) -> list[list[str]]:
-    """The prose sentences of a text as lists of words: no code lines, fences, spans or identifiers."""
+    """The prose sentences of a text as lists of words: no code lines, fences, spans or identifiers.
+
+    Of lines too long for code only the sentences that look like code are left out.
+    """
     out = []
-    for line in _FENCE.sub("\n", text or "").split("\n"):
-        line = _COMMIT.sub("", _SPAN.sub(" ", line))
-        if _CODE.search(line):
+    text = text or ""
+    if "```" in text:
+        text = _OPEN_FENCE.sub("\n", _FENCE.sub("\n", text))
+    for line in text.split("\n"):
+        if "`" in line:
+            line = _SPAN.sub(" ", line)
+        line = _COMMIT.sub("", line)
+        long = len(line) > LONGEST_CODE
+        if not long and _CODE.search(line):
             continue
         for part in _END.split(line):
-            words = [w.lower() for w in _WORD.findall(part) if not _CAMEL.search(w)]
+            if long and _CODE.search(part):
+                continue
+            words = [w if w.islower() else w.lower() for w in _WORD.findall(part) if w.islower() or not _CAMEL.search(w)]
             if len(words) >= least:
                 out.append(words)
     return out
@@ -65,30 +79,38 @@ class Model:
         r = np.random.default_rng(seed)
         self.areas = areas
         self.params = [r.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), r.normal(0, 0.3, (DIM, len(areas))).astype(np.float32), np.full(len(areas), -3, np.float32)]
+        self._forget()
+
+    def _forget(self) -> None:
         self._words: dict[str, int] = {}
-        self._rows: list[np.ndarray] = []
+        self._sums = np.empty((1024, DIM + 1), np.float32)
 
     def __getstate__(self):
-        return {"areas": self.areas, "params": self.params, "_words": {}, "_rows": []}
+        return {"areas": self.areas, "params": self.params}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._forget()
 
     def probabilities(self, sents: list[list[str]]) -> np.ndarray:
         """(sentence, area) probabilities; sums of a word's embeddings are kept for later texts."""
         if not sents:
             return np.empty((0, len(self.areas)))
         if len(self._words) > 300_000:
-            self._words, self._rows = {}, []
-        number = []
+            self._forget()
+        known, number = self._words, []
         for words in sents:
             for w in words:
-                n = self._words.get(w)
+                n = known.get(w)
                 if n is None:
+                    n = known[w] = len(known)
+                    if n == len(self._sums):
+                        self._sums = np.concatenate([self._sums, np.empty_like(self._sums)])
                     ids = features(w)
-                    n = self._words[w] = len(self._rows)
-                    self._rows.append(np.append(self.params[0][ids].sum(0), len(ids)))
+                    self._sums[n, :-1], self._sums[n, -1] = self.params[0][ids].sum(0), len(ids)
                 number.append(n)
         starts = np.cumsum([0, *map(len, sents[:-1])])
-        used, back = np.unique(number, return_inverse=True)
-        total = np.add.reduceat(np.stack([self._rows[n] for n in used])[back], starts, axis=0)
+        total = np.add.reduceat(self._sums[number], starts, axis=0)
         return _sigmoid(total[:, :-1] / total[:, -1:] @ self.params[1] + self.params[2])
 
 
