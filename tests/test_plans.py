@@ -3,7 +3,7 @@ import os
 import numpy as np
 import pytest
 
-from quern.operators.ann import IvfIndex, choose
+from quern.operators.ann import IvfIndex
 from quern.operators.syntax import chunk_file
 from quern.plans.indexer import Indexer
 from quern.plans.tools import TOOLS, ToolError
@@ -113,4 +113,9 @@ def test_index_recall_on_clusters(spark):
         cos = x @ x[n] / np.linalg.norm(x, axis=1) / np.linalg.norm(x[n])
         hits += len({i.id for i in index.search(vectors[n][1], 10, 3).collect()} & set(np.argsort(-cos)[:10].tolist()))
     assert hits >= 36
-    assert choose(df, "id", "v") is None
+    # an index that was written is opened, and only the probed lists are read
+    again = IvfIndex(spark, index.folder, "id", "v")
+    found = again.search(vectors[0][1], 10, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [list" in plan and plan.count(" IN ") >= 1
+    assert again.search(vectors[0][1], 400, 8).count() == 400
