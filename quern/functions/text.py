@@ -66,6 +66,28 @@ def contains_path(paths: Column, target: Column) -> Column:
     return F.exists(paths, lambda p: F.contains(F.lower(p), low) | F.contains(low, F.lower(p)))
 
 
+def line_count(text: Column) -> Column:
+    """Lines of a text; a final break opens no new one."""
+    return F.when(text != "", F.size(lines_of(text))).otherwise(F.when(text == "", 0))
+
+
+def bytes_label(n: Column) -> Column:
+    """1536 -> ``1.5 KiB``, as an expression."""
+    power = F.least(F.floor(F.log2(F.greatest(n, F.lit(1))) / 10 + F.lit(1e-12)), F.lit(6)).cast("int")
+    unit = F.substring(F.lit("KMGTPE"), power, F.lit(1))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat(F.format_string("%.1f", n / F.pow(F.lit(1024.0), power)), F.lit(" "), unit, F.lit("iB")))
+
+
+#: Words for true and false.
+TRUE_WORDS, FALSE_WORDS = ("true", "1", "yes", "on", "enabled"), ("false", "0", "no", "off", "disabled")
+
+
+def to_bool(text: Column, default: bool = False) -> Column:
+    """``parse_bool`` as an expression; null gives the default."""
+    word = F.lower(F.trim(text))
+    return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False).otherwise(default)
+
+
 def format_bytes(n: int) -> str:
     """1536 -> ``1.5 KiB``."""
     if n < 1024:
@@ -80,8 +102,4 @@ def format_bytes(n: int) -> str:
 def parse_bool(text: str | None, default: bool = False) -> bool:
     """true/1/yes/on/enabled and false/0/no/off/disabled, else the default."""
     word = (text or "").strip().lower()
-    if word in ("true", "1", "yes", "on", "enabled"):
-        return True
-    if word in ("false", "0", "no", "off", "disabled"):
-        return False
-    return default
+    return word in TRUE_WORDS if word in TRUE_WORDS + FALSE_WORDS else default

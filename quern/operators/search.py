@@ -10,26 +10,48 @@ from pyspark.sql import Window as W
 
 from quern.functions.text import lines_of
 
-#: Per language the kind of a definition and the pattern of its line (group 1: name).
+_ID, _TYPE = r"[A-Za-z_][A-Za-z0-9_]*", r"[A-Za-z_][A-Za-z0-9_<>\[\],.?]*"
+_MEMBER = r"^\s*(?:public |private |protected |internal )"
+_MODIFIERS = r"(?:public |private |protected |internal |static |final |abstract |sealed |partial |open |data |export |default )*"
+
+
+def _head(word: str, modifiers: str = _MODIFIERS, name: str = _ID) -> str:
+    """The pattern of a line that a word opens, with the name after it."""
+    return rf"^\s*{modifiers}{word} ({name})"
+
+
+#: Per language the kind of a definition and the pattern of its line (group 1: name); of several the first counts.
 DEFINITIONS = (
-    ("go", "function", r"^func (?:\([^)]*\) )?([A-Za-z_][A-Za-z0-9_]*)\("),
-    ("go", "struct", r"^type ([A-Za-z_][A-Za-z0-9_]*) struct"),
-    ("go", "interface", r"^type ([A-Za-z_][A-Za-z0-9_]*) interface"),
-    ("python", "function", r"^\s*(?:async )?def ([A-Za-z_][A-Za-z0-9_]*)\("),
-    ("python", "class", r"^\s*class ([A-Za-z_][A-Za-z0-9_]*)"),
-    ("javascript", "function", r"^\s*(?:export )?(?:async )?function ([A-Za-z_$][A-Za-z0-9_$]*)"),
-    ("javascript", "class", r"^\s*(?:export )?class ([A-Za-z_$][A-Za-z0-9_$]*)"),
-    ("typescript", "function", r"^\s*(?:export )?(?:async )?function ([A-Za-z_$][A-Za-z0-9_$]*)"),
-    ("typescript", "class", r"^\s*(?:export )?class ([A-Za-z_$][A-Za-z0-9_$]*)"),
-    ("typescript", "interface", r"^\s*(?:export )?interface ([A-Za-z_$][A-Za-z0-9_$]*)"),
-    ("typescript", "type", r"^\s*(?:export )?type ([A-Za-z_$][A-Za-z0-9_$]*)"),
-    ("rust", "function", r"^\s*(?:pub )?fn ([A-Za-z_][A-Za-z0-9_]*)"),
-    ("rust", "struct", r"^\s*(?:pub )?struct ([A-Za-z_][A-Za-z0-9_]*)"),
-    ("rust", "enum", r"^\s*(?:pub )?enum ([A-Za-z_][A-Za-z0-9_]*)"),
-    ("rust", "trait", r"^\s*(?:pub )?trait ([A-Za-z_][A-Za-z0-9_]*)"),
-    ("java", "class", r"^\s*(?:public |private |protected )?(?:static |final |abstract )*class ([A-Za-z_][A-Za-z0-9_]*)"),
-    ("java", "function", r"^\s*(?:public|private|protected) (?:static |final )*[A-Za-z_][A-Za-z0-9_<>\[\]]* ([A-Za-z_][A-Za-z0-9_]*)\("),
-    ("shell", "function", r"^([A-Za-z_][A-Za-z0-9_]*)\(\) \{"),
+    ("go", "function", rf"^func (?:\([^)]*\) )?({_ID})\("),
+    ("go", "struct", rf"^type ({_ID}) struct"),
+    ("go", "interface", rf"^type ({_ID}) interface"),
+    ("python", "function", rf"^\s*(?:async )?def ({_ID})\("),
+    ("python", "class", rf"^\s*class ({_ID})"),
+    *[
+        (lang, kind, rf"^\s*(?:export )?{word} ([A-Za-z_$][A-Za-z0-9_$]*)")
+        for lang, words in (("javascript", ("function", "class")), ("typescript", ("function", "class", "interface", "type")))
+        for kind, word in ((w, "(?:async )?function" if w == "function" else w) for w in words)
+    ],
+    *[("rust", kind, rf"^\s*(?:pub )?{word} ({_ID})") for kind, word in (("function", "fn"), ("struct", "struct"), ("enum", "enum"), ("trait", "trait"))],
+    *[("java", kind, _head(kind)) for kind in ("class", "interface", "enum")],
+    ("java", "function", rf"{_MEMBER}{_MODIFIERS}{_TYPE} ({_ID})\("),
+    ("c", "struct", _head("struct", "(?:typedef |static )*")),
+    ("c", "enum", _head("enum", "(?:typedef |static )*")),
+    ("c", "type", rf"^typedef [^;]*[ *]({_ID});"),
+    ("c", "function", rf"^[A-Za-z_][A-Za-z0-9_ *]*[ *]({_ID})\([^;]*$"),
+    *[("cpp", kind, _head(kind, r"(?:template *<[^>]*> *)?(?:typedef |static )*")) for kind in ("class", "struct", "enum", "namespace")],
+    ("cpp", "function", r"^[A-Za-z_][A-Za-z0-9_ *&:<>,]*[ *&]([A-Za-z_~][A-Za-z0-9_:~]*)\([^;]*$"),
+    ("ruby", "function", r"^\s*def (?:self\.)?([a-z_][A-Za-z0-9_]*[?!=]?)"),
+    *[("ruby", kind, rf"^\s*{kind} ([A-Z][A-Za-z0-9_:]*)") for kind in ("class", "module")],
+    ("php", "function", rf"^\s*{_MODIFIERS}function &?({_ID})"),
+    *[("php", kind, _head(kind)) for kind in ("class", "interface", "trait", "enum")],
+    *[("csharp", kind, _head(kind)) for kind in ("class", "interface", "struct", "enum", "record")],
+    ("csharp", "function", rf"{_MEMBER}(?:static |async |virtual |override |sealed |abstract |readonly )*{_TYPE} ({_ID})(?:<[^>]*>)?\("),
+    ("kotlin", "function", rf"^\s*(?:override |suspend |inline |private |public |internal |protected |open )*fun (?:<[^>]*> )?(?:{_ID}\.)?({_ID})"),
+    *[("kotlin", kind, _head(kind)) for kind in ("class", "interface", "object")],
+    ("swift", "function", rf"^\s*(?:public |private |internal |open |static |override |mutating )*func ({_ID})"),
+    *[("swift", kind, _head(kind)) for kind in ("class", "struct", "protocol", "enum")],
+    ("shell", "function", rf"^({_ID})\(\) \{{"),
 )
 
 
@@ -92,3 +114,31 @@ def parse_grep_line(line: Column) -> Column:
     """struct(path, line, content) of ``path:line:content``; null if it is not such a line."""
     path, number = F.regexp_extract(line, r"^([^:]+):(\d+):(.*)$", 1), F.regexp_extract(line, r"^([^:]+):(\d+):(.*)$", 2)
     return F.when(number != "", F.struct(path.alias("path"), number.cast("int").alias("line"), F.regexp_extract(line, r"^([^:]+):(\d+):(.*)$", 3).alias("content")))
+
+
+_RECORD = "type string, data struct<path: struct<text: string>, lines: struct<text: string>, line_number: bigint>"
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """A path below ``root`` from there on; other paths stay as they are."""
+    base = root.rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(base)), F.substr(path, F.lit(len(base) + 1))).otherwise(path)
+
+
+def parse_match_record(line: Column, root: str = "") -> Column:
+    """struct(path, line, content) of a line search's JSON record; null for other records and malformed text."""
+    record = F.from_json(line, _RECORD)
+    path = record["data"]["path"]["text"]
+    own = relative_path(path, root) if root not in ("", ".") else path
+    content = F.regexp_replace(record["data"]["lines"]["text"], r"[\r\n]+$", "")
+    return F.when(record["type"] == "match", F.struct(F.coalesce(own, F.lit("")).alias("path"), record["data"]["line_number"].cast("int").alias("line"), F.coalesce(content, F.lit("")).alias("content")))
+
+
+def definition_counts(chunks: DataFrame, text: str) -> DataFrame:
+    """``language, kind, lines``: how many lines the definition patterns of every language match, whatever
+    the language of the chunk; one pass over the lines."""
+    lines = chunks.select(F.explode(lines_of(F.col(text))).alias("t"))
+    counts = [F.sum((F.regexp_extract("t", p, 1) != "").cast("bigint")).alias(str(n)) for n, (_, _, p) in enumerate(DEFINITIONS)]
+    one = lines.agg(*counts)  # one row
+    told = F.array(*[F.struct(F.lit(a).alias("language"), F.lit(k).alias("kind"), F.coalesce(F.col(str(n)), F.lit(0)).alias("lines")) for n, (a, k, _) in enumerate(DEFINITIONS)])
+    return one.select(F.explode(told).alias("d")).select("d.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("integrity", "code", "vectors", "stores")
+MODULES = ("integrity", "code", "vectors", "stores", "maintenance")
 
 
 def registry() -> tuple[dict, dict]:

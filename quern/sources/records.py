@@ -12,6 +12,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.languages import normalize_kind
+from quern.operators.search import extract_name, relative_path
+
 CASES = "id string, category string, description string, prompt string, difficulty string, ground_truth struct<files: array<string>, symbols: array<string>, lines: map<string, array<int>>, content: array<string>>"
 TAGS = "_type string, name string, path string, line int, kind string, language string, pattern string, scope string, scopeKind string, signature string"
 
@@ -32,6 +35,20 @@ def read_tags(spark: SparkSession, path: str) -> DataFrame:
     return tags.select("name", "kind", "path", "line", "language", "pattern", scope.alias("scope"), F.lit(None).cast("string").alias("signature"))
 
 
+MATCHES = "text string, file string, language string, range struct<start: struct<line: int, column: int>>, metaVariables struct<single: map<string, struct<text: string>>>"
+
+
+def read_matches(spark: SparkSession, path: str, kind: str, root: str = "") -> DataFrame:
+    """Symbols of a structural search's dump in JSON lines, all of one kind; malformed lines are skipped.
+
+    The name is that of the variable NAME, else what the first line of the match starts with.
+    """
+    found = spark.read.schema(MATCHES).json(path).filter("text is not null and file is not null")
+    named = F.col("metaVariables.single")["NAME"]["text"]
+    name = F.coalesce(F.when(named != "", named), extract_name(F.element_at(F.split("text", "\n"), 1)))
+    return found.select(name.alias("name"), normalize_kind(F.lit(kind)).alias("kind"), relative_path(F.col("file"), root).alias("path"), F.col("range.start.line").alias("line"), F.lower("language").alias("language"), F.trim("text").alias("pattern"))
+
+
 def write_json(path: str, value: object) -> None:
     """Write a JSON file atomically."""
     target = Path(path)
