@@ -135,7 +135,9 @@ def pack_items(
     def again(group: pd.DataFrame) -> pd.DataFrame:
         return _laid(group, group[["id", "piece", "start_token", "tokens"]].reset_index(drop=True), int(group["capacity"].iloc[0]), int(group["separator"].iloc[0]), f"r{int(group['shard'].iloc[0])}")
 
-    laid = cut_lineage(dealt.groupBy("pack_name", "shard").applyInPandas(first, columns))
+    # a stated number of partitions, for AQE would merge these small but slow groups into few tasks
+    spread_out = dealt.repartition(min(3 * len(settings) * shards, 8 * sizes.sparkSession.sparkContext.defaultParallelism), "pack_name", "shard")
+    laid = cut_lineage(spread_out.groupBy("pack_name", "shard").applyInPandas(first, columns))
     good = laid.filter(F.col("fill") >= well_filled)
     rest = laid.filter(F.col("fill") < well_filled).withColumn("shard", F.floor(F.col("shard") / pool))
     repacked = rest.groupBy("pack_name", "shard").applyInPandas(again, columns)

@@ -58,6 +58,11 @@ def p6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_items(read_table(spark, sf_dir, "scored_items"), read_table(spark, sf_dir, "score_signals")).select("query_id", "item_index", "place")
 
 
+def p6_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking by plain leximin, on the items' own percentiles."""
+    return rank_items(read_table(spark, sf_dir, "scored_items"), read_table(spark, sf_dir, "score_signals"), plain=True).select("query_id", "item_index", "place")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_ranking(spark, sf_dir).filter("place <= 5").select("query_id", "item_index")
 
@@ -116,6 +121,7 @@ QUERIES = {
     "p7_reasons": p7_reasons,
     "p6_found": p6_found,
     "p6_ranking": p6_ranking,
+    "p6_plain": p6_plain,
     "p8_containers": p8_containers,
     "p8_free_room": p8_free_room,
     "p9_found": p9_found,
@@ -139,7 +145,10 @@ every as (select distinct query_id as q, item_index as i from scored_items where
 ranking as (select e.q as query_id, e.i as item_index, (row_number() over (partition by e.q order by coalesce(s.s, []) desc, e.i))::int as place from every e left join standing s on s.q = e.q and s.i = e.i)
 """
 
+_PLAIN = _RANKING.replace("case when sw > 0 then so / sw else 0 end as mean", "list_avg(os) as mean").replace("case when sw - z[1] > 1e-12 then (so - z[1] * z[2]) / (sw - z[1]) else mean end", "z[2]")
+
 SQL: dict[str, str] = {
+    "p6_plain": _PLAIN + "select query_id, item_index, place from ranking",
     "p6_ranking": _RANKING + "select query_id, item_index, place from ranking",
     "p6_found": _RANKING + "select query_id, item_index from ranking where place <= 5",
     "p2_found": """

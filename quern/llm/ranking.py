@@ -20,7 +20,7 @@ from quern.operators.positions import positions
 from quern.runtime import broadcast_if_small, cut_lineage
 
 
-def rank_items(scores: DataFrame, signals: DataFrame, query: str = "query_id", item: str = "item_index", default_weight: float = 0.1) -> DataFrame:
+def rank_items(scores: DataFrame, signals: DataFrame, query: str = "query_id", item: str = "item_index", default_weight: float = 0.1, plain: bool = False) -> DataFrame:
     """``query, item, standing, place``: every item of every query with its place, from 1.
 
     ``scores`` has one row per query, ``signal`` and item; of repeated rows the best score counts.
@@ -28,7 +28,8 @@ def rank_items(scores: DataFrame, signals: DataFrame, query: str = "query_id", i
     tells ``higher_is_better`` and ``weight``; signals it lacks, and null fields, count as
     higher-is-better with ``default_weight``, negative weights as 0. An item without any score
     comes last; equal vectors are ordered by item. Queries keep all their items. Extra columns are
-    ignored.
+    ignored. With ``plain`` an item's vector is its own percentiles alone, without weights; a
+    missing one is the item's mean.
     """
     told = signals.select(F.col("signal"), F.coalesce("higher_is_better", F.lit(True)).alias("up"), F.greatest(F.coalesce("weight", F.lit(default_weight)), F.lit(0.0)).alias("w")).dropDuplicates(["signal"])
     rows = scores.select(F.col(query).alias("q"), F.col(item).alias("i"), "signal", F.col("score").cast("double").alias("score")).filter("q is not null and i is not null")
@@ -48,6 +49,9 @@ def rank_items(scores: DataFrame, signals: DataFrame, query: str = "query_id", i
     )
     mean = F.when(F.col("sw") > 0, F.col("so") / F.col("sw")).otherwise(0.0)
     without = F.transform("s", lambda x: F.when(F.col("sw") - x["w"] > 1e-12, (F.col("so") - x["w"] * x["odds"]) / (F.col("sw") - x["w"])).otherwise(F.col("mean")))
+    if plain:
+        vectors = vectors.withColumn("sw", F.size("s").cast("double")).withColumn("so", F.aggregate("s", F.lit(0.0), lambda a, x: a + x["odds"]))
+        without = F.transform("s", lambda x: x["odds"])
     widest = vectors.agg(F.max(F.size("s")).alias("widest"))  # one row
     standing = vectors.withColumn("mean", mean).crossJoin(F.broadcast(widest)).select("q", "i", F.transform(F.sort_array(F.concat(without, F.array_repeat("mean", (F.col("widest") - F.size("s")).cast("int")))), lambda x: F.round(x, 9)).alias("standing"))
     every = rows.select("q", "i").distinct().join(standing, ["q", "i"], "left").withColumn("standing", F.coalesce("standing", F.array().cast("array<double>")))
