@@ -362,7 +362,7 @@ def nearest_ids(
     routed = cut_lineage(reps.select("model", "dimensions", "id", "embedding").mapInArrow(route, "space int, bundle int, id bigint, home int, lists array<int>, vec binary"))
     parts = lambda c: F.greatest(F.ceil(c / block), F.lit(1)).cast("int")
     # one row per bundle, of which there are fewer than centroids
-    plan = F.broadcast(cut_lineage(routed.groupBy("space", "bundle").agg(parts(F.sum((F.col("home") >= 0).cast("int"))).alias("bases"), parts(F.count(F.lit(1))).alias("askers"))))
+    plan = F.broadcast(routed.groupBy("space", "bundle").agg(parts(F.sum((F.col("home") >= 0).cast("int"))).alias("bases"), parts(F.count(F.lit(1))).alias("askers")))
     salt = lambda c, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(c)).cast("int")
     cell = lambda b, a, base, ask: F.struct(b.alias("b"), a.alias("a"), F.lit(base).alias("base") if isinstance(base, bool) else base.alias("base"), F.lit(ask).alias("ask"))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
