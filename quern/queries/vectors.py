@@ -37,7 +37,8 @@ def _knn(metric, k=K, where=None):
 
 def knn_one(spark, sf_dir):
     """A search with a single vector."""
-    return knn(_embeddings(spark, sf_dir), _query(spark, sf_dir), "vec_id", "embedding", K)
+    rows = _embeddings(spark, sf_dir)
+    return knn(rows, rows.filter(F.col("vec_id") == QUERY_ID).select(F.col("embedding").alias("q")), "vec_id", "embedding", K)
 
 
 def knn_list_index(spark, sf_dir):
