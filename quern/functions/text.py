@@ -75,7 +75,7 @@ def bytes_label(n: Column) -> Column:
     """1536 -> ``1.5 KiB``, as an expression."""
     power = F.least(F.floor(F.log2(F.greatest(n, F.lit(1))) / 10 + F.lit(1e-12)), F.lit(6)).cast("int")
     unit = F.substring(F.lit("KMGTPE"), power, F.lit(1))
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat(F.format_string("%.1f", n / F.pow(F.lit(1024.0), power)), F.lit(" "), unit, F.lit("iB")))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat(F.format_string("%.1f", F.bround(n / F.pow(F.lit(1024.0), power), 1)), F.lit(" "), unit, F.lit("iB")))
 
 
 #: Words for true and false.
