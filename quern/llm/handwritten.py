@@ -157,7 +157,7 @@ def not_handwritten(locations: DataFrame, chunks: DataFrame, contained: float =
     once. Empty tables give no rows; extra columns are ignored.
     """
     # contents get numbers, files and folders keys of a few bytes: names come back at the end
-    features = cut_lineage(cut_lineage(chunk_features(chunks)).withColumn("n", F.monotonically_increasing_id()))
+    features = cut_lineage(chunk_features(chunks).withColumn("n", F.monotonically_increasing_id()))
     named_rows = lambda df: df.filter("repo_root <> '' and path <> ''")
     file = _key(F.col("repo_root"), F.col("path")).alias("file")
     folder = F.xxhash64("repo_root", F.regexp_extract("path", r"^(.*?)[^/\\\\]*$", 1)).alias("folder")
