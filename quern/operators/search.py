@@ -88,14 +88,30 @@ def find_symbol(symbols: DataFrame, name: str, kind: str | None = None, limit: i
     return rows.withColumn("match_rank", rank).orderBy("match_rank", "name", "id").limit(limit if limit > 0 else 50)
 
 
-def extract_definitions(chunks: DataFrame, language: str, text: str, keys: list[str]) -> DataFrame:
-    """``keys, line, kind, name``: definitions found by the line patterns of the chunk's language."""
-    lines = chunks.select(*keys, F.col(language).alias("__lang"), F.posexplode(lines_of(F.col(text)))).select(*keys, "__lang", (F.col("pos") + 1).alias("line"), "col")
+def _definition(language: str, line: Column) -> Column:
+    """struct(kind, name) of the first pattern of a language that the line matches; null without any."""
     found: Column = F.lit(None).cast("struct<kind:string,name:string>")
-    for lang, kind, pattern in reversed(DEFINITIONS):
-        name = F.regexp_extract("col", pattern, 1)
-        found = F.when((F.col("__lang") == lang) & (name != ""), F.struct(F.lit(kind).alias("kind"), name.alias("name"))).otherwise(found)
-    return lines.select(*keys, "line", found.alias("d")).filter("d is not null").select(*keys, "line", "d.kind", "d.name")
+    for _, kind, pattern in reversed([d for d in DEFINITIONS if d[0] == language]):
+        name = F.regexp_extract(line, pattern, 1)
+        found = F.when(name != "", F.struct(F.lit(kind).alias("kind"), name.alias("name"))).otherwise(found)
+    return found
+
+
+def _marked(language: str):
+    return lambda line, n: F.struct((n + 1).alias("line"), _definition(language, line).alias("d"))
+
+
+def extract_definitions(chunks: DataFrame, language: str, text: str, keys: list[str]) -> DataFrame:
+    """``keys, line, kind, name``: definitions found by the line patterns of the chunk's language.
+
+    The patterns run inside the array of lines, so only the definitions become rows.
+    """
+    languages = list(dict.fromkeys(lang for lang, *_ in DEFINITIONS))
+    lines = chunks.filter(F.col(language).isin(*languages)).select(*keys, F.col(language).alias("__lang"), lines_of(F.col(text)).alias("__lines"))
+    hits: Column = F.lit(None).cast("array<struct<line:int,d:struct<kind:string,name:string>>>")
+    for lang in languages:
+        hits = F.when(F.col("__lang") == lang, F.filter(F.transform("__lines", _marked(lang)), lambda x: x["d"].isNotNull())).otherwise(hits)
+    return lines.select(*keys, F.explode(hits).alias("h")).select(*keys, "h.line", "h.d.kind", "h.d.name")
 
 
 #: Prefixes that are cut from a definition's text, each once, in this order.

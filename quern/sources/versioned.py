@@ -132,12 +132,14 @@ class VersionedTable:
         rows = self._alive(self.manifest(version)["files"])
         return None if rows is None else rows.drop("_file", "_row")
 
-    def _change(self, hits: DataFrame | None, fresh: DataFrame | None, meta: dict | None, base: int) -> int:
-        """Commit a version without the rows at ``hits`` (``_file, _row``) and with those of ``fresh``."""
+    def _change(self, hits: DataFrame | None, fresh: DataFrame | None, meta: dict | None, base: int, touched: set[str] | None = None) -> int:
+        """Commit a version without the rows at ``hits`` (``_file, _row``), which lie in the files
+        ``touched``, and with those of ``fresh``."""
         old = self.manifest(base)
         files = dict(old["files"])
         if hits is not None:
-            touched = {r["_file"] for r in hits.select("_file").distinct().collect()}  # of the files the manifest names
+            if touched is None:
+                touched = {r["_file"] for r in hits.select("_file").distinct().collect()}  # of the files the manifest names
             if touched:
                 before = self._deleted({f: v for f, v in files.items() if f.rsplit("/", 1)[-1] in touched})
                 folder = f"{self.root}/deleted/{uuid.uuid4().hex}"
@@ -184,10 +186,11 @@ class VersionedTable:
         old = alive.select(*keys, F.struct(*rest).alias("_old"), "_file", "_row")
         joined = old.join(df.select(*keys, F.struct(*rest).alias("_new")), keys, "full")
         differ = cut_table(joined.filter(~F.col("_old").eqNullSafe(F.col("_new"))).drop("_old"), "differ")
-        if differ.isEmpty():
+        counts = {r["_file"]: r["n"] for r in differ.groupBy("_file").agg(F.count("_new").alias("n")).collect()}  # one row per touched file
+        if not counts:
             return base
         hits, fresh = differ.filter("_file is not null").select("_file", "_row"), differ.filter("_new is not null").select(*keys, "_new.*").select(*df.columns)
-        return self._change(hits, None if fresh.isEmpty() else fresh, meta, base)
+        return self._change(hits, fresh if any(counts.values()) else None, meta, base, counts.keys() - {None})
 
     def rewrite(self, df: DataFrame, meta: dict | None = None) -> int:
         """Commit a version that consists of the rows of ``df`` alone."""
