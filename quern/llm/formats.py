@@ -13,8 +13,12 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 
+#: Keys of a path that are kept, the innermost ones; deeper nesting would cost its square.
+DEEPEST = 16
+
+
 class Entry(NamedTuple):
-    """A scalar: its key path and the range of its text without quotes."""
+    """A scalar: its key path (the last ``DEEPEST`` keys) and the range of its text without quotes."""
 
     path: tuple[str, ...]
     start: int
@@ -44,6 +48,22 @@ def format_of(path: str | None) -> str | None:
     return FORMATS.get(name.rsplit(".", 1)[-1]) if "." in name else None
 
 
+_OPENS_YAML = re.compile(r"(?m)^[ \t]*(?:- )?[A-Za-z_][\w.\-]*:(?:[ \t]|$)")
+_OPENS_TABLE = re.compile(r"(?m)^[ \t]*\[{1,2}[\w.\- \"]+\]{1,2}[ \t\r]*$")
+
+
+def sniff(text: str) -> str | None:
+    """The format a text within other text is written in, as far as its looks tell."""
+    bare = text.lstrip()
+    if bare[:1] in "{[" and re.match(r"[{\[]\s*(?:[\"'{\[\]}]|$)", bare):
+        return "json"
+    if bare[:1] == "<":
+        return "xml"
+    if _OPENS_TABLE.search(text) and "=" in text:
+        return "toml"
+    return "yaml" if len(_OPENS_YAML.findall(text)) >= 2 else None
+
+
 def entries(text: str, form: str) -> list[Entry | Rest]:
     """All entries and rests of a text of one of the formats, in order."""
     return list(_PARSERS[form](text))
@@ -114,7 +134,7 @@ def _flow(text: str, at: int, base: tuple[str, ...], whole: bool) -> Iterator[En
 
 
 def _trail(frames: list[list]) -> tuple[str, ...]:
-    return tuple(str(f[1]) if f[2] else f[0] for f in frames if f[2] or f[0] is not None)
+    return tuple(str(f[1]) if f[2] else f[0] for f in frames[-DEEPEST:] if f[2] or f[0] is not None)
 
 
 def _json(text: str) -> Iterator[Entry | Rest]:
@@ -151,7 +171,7 @@ def _yaml(text: str) -> Iterator[Entry | Rest]:
     at, size = 0, len(text)
 
     def path() -> tuple[str, ...]:
-        return tuple(str(f[2]) if f[1] is None else f[1] for f in frames)
+        return tuple(str(f[2]) if f[1] is None else f[1] for f in frames[-DEEPEST:])
 
     while at < size:
         begin, end = at, _line_end(text, at)
@@ -308,6 +328,7 @@ def _toml(text: str) -> Iterator[Entry | Rest]:
 
 _SECTION = re.compile(r"[ \t]*\[([^\[\]\n=]+)\][ \t]*\r?$", re.M)
 _SETTING = re.compile(r"""[ \t]*(?:export[ \t]+|set[ \t]+)?(?P<key>(?:"[^"\n]*"|'[^'\n]*'|(?:[^\s=:#;!\\]|\\.|[ \t](?=[\w.\-]+[ \t]*[=:]))+))[ \t]*[=:][ \t]*""")
+_GOES_ON = re.compile(r"(?<!\\)(?:\\\\)*\\\r?\Z")
 _LONG = re.compile(r'"(?P<a>(?:[^"\\]|\\.)*)"|\'(?P<b>[^\']*)\'', re.S)
 
 
@@ -344,15 +365,16 @@ def _properties(text: str) -> Iterator[Entry | Rest]:
         if cut:
             yield Rest(cut.start(), end)
         # a line that ends in a backslash goes on in the next one
-        while not cut and at < size and re.search(r"(?<!\\)(?:\\\\)*\\\r?\Z", text[first:stop]):
-            stop = _line_end(text, at)
+        begin = first
+        while not cut and at < size and _GOES_ON.search(text[begin:stop]):
+            begin, stop = at, _line_end(text, at)
             at = stop + 1
         yield Entry(path, first, first + len(text[first:stop].rstrip().rstrip("\\").rstrip()))
 
 
 # XML
 
-_NODE = re.compile(r"<!--(?P<comment>.*?)(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<(?P<close>/?)(?P<name>[A-Za-z_\x80-\xff][\w.\-:\x80-\xff]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[?!][^>]*>", re.S)
+_NODE = re.compile(r"<!--(?P<comment>.*?)(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<(?P<close>/?)(?P<name>[A-Za-z_\x80-\xff][\w.\-:\x80-\xff]*)(?P<rest>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)>|<[?!][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"""([A-Za-z_\x80-\xff][\w.\-:\x80-\xff]*)\s*=\s*("[^"]*"|'[^']*')""")
 
 
@@ -365,7 +387,7 @@ def _xml(text: str) -> Iterator[Entry | Rest]:
         if own.strip():
             start += len(own) - len(own.lstrip())
             end = start + len(own.strip())
-            yield Entry(tuple(frames), start, end) if frames else Rest(start, end)
+            yield Entry(tuple(frames[-DEEPEST:]), start, end) if frames else Rest(start, end)
 
     for m in _NODE.finditer(text):
         yield from between(at, m.start())
@@ -376,15 +398,17 @@ def _xml(text: str) -> Iterator[Entry | Rest]:
             yield from between(*m.span("data"))
         elif m["name"]:
             if m["close"]:
-                names = [f.rsplit("#", 1)[0] for f in frames]
-                if m["name"] in names:
-                    del frames[len(names) - 1 - names[::-1].index(m["name"]) :]
+                # a tag that was never opened closes nothing
+                for n in range(len(frames) - 1, max(-1, len(frames) - 1 - DEEPEST), -1):
+                    if frames[n].rsplit("#", 1)[0] == m["name"]:
+                        del frames[n:]
+                        break
                 continue
             number += 1
             frames.append(f"{m['name']}#{number}")
             for a in _ATTRIBUTE.finditer(m["rest"]):
                 start = m.start("rest") + a.start(2)
-                yield Entry((*frames, a[1]), start + 1, start + len(a[2]) - 1)
+                yield Entry((*frames[-DEEPEST:], a[1]), start + 1, start + len(a[2]) - 1)
             if m["rest"].endswith("/"):
                 frames.pop()
     yield from between(at, len(text))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.formats import Rest, entries, format_of
+from quern.llm.formats import FORMATS, Rest, entries, format_of, sniff
 from quern.runtime import spread
 
 #: Words that name a secret wherever they stand in a key.
@@ -58,7 +58,7 @@ _TOKENS = {
 _PROVIDER = re.compile(r"(?<![A-Za-z0-9_\-])(?:" + "|".join(_TOKENS) + r")(?![A-Za-z0-9_\-])")
 _ACCESS_ID = re.compile(r"(?<![A-Za-z0-9/+_\-])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9/+=])")
 _SIGNED = re.compile(r"(?<![\w\-.])eyJ[\w\-]{8,}\.eyJ[\w\-]{4,}\.[\w\-]{10,}")
-_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://([^\s/@:'\"<>`]*):([^\s/'\"<>`]+?)@(?=[\w\[])")
+_URL = re.compile(r"(?<=[A-Za-z0-9+.\-])://([^\s/@:'\"<>`]*):([^\s/'\"<>`]+?)@(?=[\w\[])")
 #: Parts of connection strings that hold a secret, and commands with short options that do.
 _PARTS = ("password", "pwd", "sharedaccesskey", "accountkey", "sharedsecret", "sharedaccesssignature")
 _COMMANDS = ("mysql", "mariadb", "sshpass", "psql", "redis-cli", "mongo", "7z", "zip", "unzip", "ldapsearch", "smbclient")
@@ -66,8 +66,11 @@ _CONNECTION = re.compile(r"(?i)(?:^|[;\s\"'>=])(?:" + "|".join(_PARTS) + r")\s*=
 _HEADER = re.compile(r"(?i)\b(?:authorization|x-api-key|x-auth-token|private-token|x-vault-token|proxy-authorization)\b[\"']?\]?\s*[:=,>]{1,2}\s*[\"'`]?(?:(basic|bearer|token|apikey)\s+)?([^\s\"'`<>,;]+)")
 _SCHEME = re.compile(r"(?i)[\"'`>\s=](basic|bearer|token)\s+([A-Za-z0-9+/_\-.=~]{12,})")
 _OPTION = re.compile(r"(?i)(?<![\w\-])--?(?:password|passwd|pass|pwd|secret|token|api[_\-]?key|access[_\-]?token|auth[_\-]?token|client[_\-]?secret|secret[_\-]?key)(?:\s*=\s*|\s+)[\"']?([^\s\"']+)")
-_SHORT = re.compile(r"(?<![\w\-])(?:" + "|".join(c + r"\w*" if c in ("mysql", "mongo") else c for c in _COMMANDS) + r")\b[^\n|;]*?\s-(?:p|a|w|P)\s?[\"']?([^\s\"'\-][^\s\"']{5,})")
-_USER_OPTION = re.compile(r"(?<![\w\-])(?:curl|wget|http)\b[^\n|;]*?\s(?:-u|--user)[\s=][\"']?([^\s:\"']+):([^\s\"']+)")
+#: A command and what follows it up to the next one of the line; options are looked for in there.
+_RUN = re.compile(r"(?<![\w\-])(?:" + "|".join(c + r"\w*" if c in ("mysql", "mongo") else c for c in _COMMANDS) + r")\b([^\n|;]*)")
+_SHORT = re.compile(r"\s-(?:p|a|w|P)\s?[\"']?([^\s\"'\-][^\s\"']{5,})")
+_FETCH = re.compile(r"(?<![\w\-])(?:curl|wget|http)\b([^\n|;]*)")
+_USER_OPTION = re.compile(r"\s(?:-u|--user)[\s=][\"']?([^\s:\"']+):([^\s\"']+)")
 _PROSE = re.compile(r"(?i)\b(?:log-?in|creds?|credentials?|passw(?:or)?[dt]|kennwort|clave|secret)\b[^\n:=>]{0,40}?(?::|=>|->|=| is )\s*(?:[\w.\-]+\s*[/ ,]\s*)?[\"'`]?([^\s\"'`,]{8,})")
 #: A comment that ends in an account and its password.
 _PAIR = re.compile(r"""^[ \t]*(?:\#|//|<!--|--|;|/?\*)[^\n]*?(?::|->|=>|\b(?:is|ist|est|es|are|sind|lautet))[ \t]+([a-z][\w.\-]*)[ \t]*[ \t/:][ \t]*([^\s(\[<{"'`/][^\s"'`]{5,}?)[ \t]*(?:-->|\*/)?[ \t\r]*$""", re.M)
@@ -81,14 +84,17 @@ _MATERIAL = re.compile(r"[A-Za-z0-9+/=\\]+")
 _ESCAPED = re.compile(r"(?:\\[nr]|[A-Za-z0-9+/=])*")  # a block on one line, with escaped line breaks
 _PEM_HEADER = re.compile(r"(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash|MessageID):")
 
+#: Keys begin with the run of signs they consist of, or after its leading dashes and dots: looked for
+#: at every letter, a long word would cost its square.
+_STARTS = r"(?:(?<![\w.\-])|(?<=[^\w.\-][.\-])|(?<=--))"
 #: Keys may hold the second byte of ñ, which is no letter by itself.
 _ENTRY = re.compile(
-    r"""(?P<q>["'`]?)(?P<key>[A-Za-z_][\w.\-\xb1]*)(?P=q)\]?\s*(?:(?::\s*&?[\w.<>\[\]]+\s*(?==\s*["'`]))?(?::=|=>|=)|:|,(?=\s*["'`]))\s*(?P<value>"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?|`[^`\n]*`?|[^\s"'`#;,<>{}()\[\]][^\s"'`;,<>]*)?"""
+    r"""(?P<q>["'`]?)""" + _STARTS + r"""(?P<key>[A-Za-z_][\w.\-\xb1]*)(?P=q)\]?\s*(?:(?::\s*&?[\w.<>\[\]]+\s*(?==\s*["'`]))?(?::=|=>|=)|:|,(?=\s*["'`]))\s*(?P<value>"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?|`[^`\n]*`?|[^\s"'`#;,<>{}()\[\]][^\s"'`;,<>]*)?"""
 )
 _TAG = re.compile(r"<(?P<key>[A-Za-z_][\w.\-\xb1]*)>(?P<value>[^<\n]+)</(?P=key)>")
-_PROPERTY = re.compile(r"""\b(?:name|key|id)\s*=\s*["'](?P<key>[^"'\n]+)["'][^<>\n]*?\bvalue\s*=\s*(?P<value>"[^"\n]*"|'[^'\n]*')""")
+_PROPERTY = re.compile(r"""\b(?:name|key|id)\s*=\s*["'](?P<key>[^"'\n]+)["'](?:(?!\b(?:name|key|id)\s*=)[^<>\n])*?\bvalue\s*=\s*(?P<value>"[^"\n]*"|'[^'\n]*')""")
 _NAMED = re.compile(r"""^[\s\-{"']*(?:name|key)["']?\s*[:=]\s*["']?(?P<key>[A-Za-z_][\w.\-\xb1]*)["']?,?\s*$""")
-_OPENED = re.compile(r"""(?P<q>["']?)(?P<key>[A-Za-z_][\w.\-\xb1]*)(?P=q)\]?\s*(?::\s*&?[\w.]+\s*)?(?::=|=|:)\s*(?:[|>][+\-]?\d?|\"\"\"|'''|`|\(|\\|["'])?\s*$""")
+_OPENED = re.compile(r"""(?P<q>["']?)""" + _STARTS + r"""(?P<key>[A-Za-z_][\w.\-\xb1]*)(?P=q)\]?\s*(?::\s*&?[\w.]+\s*)?(?::=|=|:)\s*(?:[|>][+\-]?\d?|\"\"\"|'''|`|\(|\\|["'])?\s*$""")
 
 _NAME = re.compile(r"[A-Za-z_][\w.\-\xb1\xc3]*")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -130,8 +136,16 @@ _SKIP = r"/\*.*?(?:\*/|\Z)|//[^\n]*|" + _QUOTED
 _RAW = r"`(?P<raw>[^`]*)(?:`|\Z)"
 _TEMPLATE = r"`(?P<raw>(?:[^`\\]|\\.)*)(?:`|\Z)"
 _TRIPLE = r'"""(?P<three>(?:[^\\"]|\\.|"(?!""))*)(?:"""|\Z)'
+_HASHED = r"#[^\n]*|" + _QUOTED
 _MULTI = (
-    {"go": re.compile(_RAW + "|" + _SKIP, re.S), "py": re.compile(_TRIPLE + r"|'''(?P<raw>(?:[^\\']|\\.|'(?!''))*)(?:'''|\Z)|#[^\n]*|" + _QUOTED, re.S)}
+    {
+        "go": re.compile(_RAW + "|" + _SKIP, re.S),
+        "py": re.compile(_TRIPLE + r"|'''(?P<raw>(?:[^\\']|\\.|'(?!''))*)(?:'''|\Z)|#[^\n]*|" + _QUOTED, re.S),
+        "rs": re.compile(r'/\*.*?(?:\*/|\Z)|//[^\n]*|\'(?:[^\'\\\n]|\\.)\'|r(?P<mark>#*)"(?P<raw>.*?)(?:"(?P=mark)|\Z)|"(?P<three>(?:[^"\\]|\\.)*)(?:"|\Z)', re.S),
+        "rb": re.compile(r"<<[~\-]?[\"'`]?(?P<mark>[A-Z_][A-Z0-9_]*)[\"'`]?[^\n]*\n(?P<raw>.*?)(?:\n[ \t]*(?P=mark)\b|\Z)|" + _HASHED, re.S),
+        "php": re.compile(r"<<<[ \t]*[\"']?(?P<mark>[A-Za-z_]\w*)[\"']?[ \t\r]*\n(?P<raw>.*?)(?:\n[ \t]*(?P=mark)\b|\Z)|" + _SKIP + "|#[^\n]*", re.S),
+    }
+    | dict.fromkeys(("cc", "cpp", "hpp", "h"), re.compile(r'R"(?P<mark>[^()\s\\"]{0,16})\((?P<raw>.*?)(?:\)(?P=mark)"|\Z)|' + _SKIP, re.S))
     | dict.fromkeys(("ts", "tsx", "js", "jsx"), re.compile(_TEMPLATE + "|" + _SKIP, re.S))
     | dict.fromkeys(("java", "kt", "scala", "swift", "cs"), re.compile(_TRIPLE + "|" + _SKIP, re.S))
 )
@@ -140,13 +154,29 @@ _MULTI = (
 def _inner(text: str, extension: str) -> Iterator[tuple[int, int]]:
     """Ranges of the literals of a source text that go over lines; one that is cut off ends with the text."""
     pattern = _MULTI.get(extension)
-    if pattern is None or not ("`" in text or '"""' in text or "'''" in text):
+    if pattern is None:
         return
     for m in pattern.finditer(text):
-        if m.lastgroup and "\n" in m[m.lastgroup]:
+        if m.lastgroup and "\n" in m[0]:
             yield m.span(m.lastgroup)
 
 
+#: Fenced blocks of prose, with the format they are said to be in.
+_FENCED = re.compile(r"(?ms)^[ \t>]*(?:```+|~~~+)[ \t]*(?P<form>\w*)[^\n]*\n(?P<body>.*?)(?:^[ \t>]*(?:```|~~~)|\Z)")
+_DOCS = {"md", "markdown", "rst", "adoc", "txt"}
+
+
+def _embedded(text: str, extension: str, inner: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, format) of configuration inside other text: literals over lines and fenced blocks."""
+    for start, end in inner:
+        if form := sniff(text[start:end]):
+            yield start, end, form
+    if extension in _DOCS and ("```" in text or "~~~" in text):
+        for m in _FENCED.finditer(text):
+            if form := FORMATS.get(m["form"].lower()) or (None if m["form"] else sniff(m["body"])):
+                yield *m.span("body"), form
+
+
 class Finding(NamedTuple):
     """A credential: byte range of its value, line (from 1), what it is, and the key path."""
 
@@ -257,6 +287,9 @@ def _unquoted(match: re.Match, text: str) -> tuple[int, int, bool]:
     return start, end, False
 
 
+_BARE = re.compile(r"(\S*?)[,;]?(?:[ \t\r]*$|\s+#)")
+
+
 def _entries(line: str, offset: int, source: bool, named: str) -> Iterator[tuple[str, int, int]]:
     """(key, start, end) of the entries of a line; ``named`` is the name a preceding line gave."""
     for m in _TAG.finditer(line):
@@ -271,8 +304,8 @@ def _entries(line: str, offset: int, source: bool, named: str) -> Iterator[tuple
             continue
         if not quoted:
             # a bare value reaches to the end of the line or to a comment
-            rest = re.match(r"[^\n]*?(?=\s+#|\s*$|[,;]\s*$)", line[start:])
-            end = max(end, start + rest.end()) if rest and " " not in rest[0] else end
+            rest = _BARE.match(line, start)
+            end = max(end, rest.end(1)) if rest else end
         key = named if m["key"].lower() == "value" and named else m["key"]
         yield key, offset + start, offset + end
 
@@ -308,15 +341,13 @@ def _blocks(text: str) -> Iterator[tuple[int, int, int]]:
 
     A block without END line ends with its last line of key material, however long it is.
     """
-    at = 0
-    while m := _BEGIN.search(text, at):
-        stop = _END.search(text, m.end())
-        other = _BEGIN.search(text, m.end())
-        if stop and not (other and other.start() < stop.start()):
-            end = stop.start()
-        else:
-            limit = other.start() if other else len(text)
-            end = min(limit, _body_end(text, m.end()))
+    begins, stops, at = list(_BEGIN.finditer(text)), [m.start() for m in _END.finditer(text)], 0
+    for n, m in enumerate(begins):
+        if m.start() < at:
+            continue
+        limit = begins[n + 1].start() if n + 1 < len(begins) else len(text)
+        place = bisect_left(stops, m.end())
+        end = stops[place] if place < len(stops) and stops[place] <= limit else min(limit, _body_end(text, m.end()))
         body = text[m.end() : end]
         if any(len(set(x)) > 4 for x in _BODY.findall(body)) or (not body.strip() and m.end() >= len(text.rstrip())):
             yield m.start(), m.end(), end
@@ -427,6 +458,9 @@ def _lines(text: str, low: str, extension: str, folded: list[str], exact: list[s
     """Credentials of source code, scripts and prose, line by line."""
     source = extension in _SOURCE
     inner = list(_inner(text, extension)) if source else []
+    for start, end, form in _embedded(text, extension, inner):
+        shifted = lambda a, b, kind, key, start=start: add(start + a, start + b, kind, key)
+        _configuration(text[start:end], low[start:end], form, folded, exact, shifted)
     offset, named, opened = 0, "", ""
     for line, lower in zip(text.split("\n"), low.split("\n"), strict=True):
         bare = line.strip()
@@ -492,12 +526,14 @@ def _shapes(line: str, offset: int, add) -> None:
     for m in _OPTION.finditer(line):
         if short_password(m[1]) or random_like(m[1], 12):
             add(offset + m.start(1), offset + m.end(1), "command option", "")
-    for m in _SHORT.finditer(line):
-        if literal(m[1]) and re.search(r"\d", m[1]) and re.search("[A-Za-z]", m[1]):
-            add(offset + m.start(1), offset + m.end(1), "command option", "")
-    for m in _USER_OPTION.finditer(line):
-        if literal(m[2]):
-            add(offset + m.start(2), offset + m.end(2), "command option", "")
+    for run in _RUN.finditer(line):
+        for m in _SHORT.finditer(line, *run.span(1)):
+            if literal(m[1]) and re.search(r"\d", m[1]) and re.search("[A-Za-z]", m[1]):
+                add(offset + m.start(1), offset + m.end(1), "command option", "")
+    for run in _FETCH.finditer(line):
+        for m in _USER_OPTION.finditer(line, *run.span(1)):
+            if literal(m[2]):
+                add(offset + m.start(2), offset + m.end(2), "command option", "")
 
 
 def _secret(value: str, strength: int) -> bool:
