@@ -41,7 +41,7 @@ _NUMBER = re.compile(r"0x[0-9a-fA-F]+|\d+(?:\.\d+)?")
 #: A name or hexadecimal constant with a number in it, after numbers became 0: programs number names, people number arguments.
 _NUMBERED = re.compile(r"[A-Za-z_]0")
 _ASSERTION = re.compile(r"(?i)(?:\w+\.)*(?:assert|expect|check|require|test|it|should|must)\w*\b")
-_DATA = re.compile(r"""(?:[\s\-+\d.,;:(){}\[\]'"xXa-fA-F]*\d[\s\-+\d.,;:(){}\[\]'"xXa-fA-F]*|["']?[A-Za-z0-9+/=_\\]{24,}["']?[,;+\\]?|(?i:insert into)\b.*|\(.*\)[,;])$""")
+_DATA = re.compile(r"""(?:(?=\D*\d)[\s\-+\d.,;:(){}\[\]'"xXa-fA-F]*|["']?[A-Za-z0-9+/=_\\]{24,}["']?[,;+\\]?|(?i:insert into)\b.*|\(.*\)[,;])$""")
 
 #: Lines shorter than this say too little to tell where they come from.
 LINE_LEAST = 16

@@ -63,21 +63,21 @@ def split_line(data: bytes, limit: int) -> list[bytes]:
 
     A character is never cut, unless the limit is smaller than the character itself.
     """
-    parts = []
-    while len(data) > limit:
+    parts, at = [], 0
+    while len(data) - at > limit:
         end = limit
-        while end > 0 and data[end] & 0xC0 == 0x80:
+        while end > 0 and data[at + end] & 0xC0 == 0x80:
             end -= 1
         end = end or limit
-        window = data[:end]
+        window = data[at : at + end]
         best = max(window.rfind(b" "), window.rfind(b"\t"))
         if best < end // 2:
             best = max(best, *(window.rfind(c) for c in (b";", b",", b"}", b")", b">", b".")))
         if best >= end // 2:
             end = best + 1
-        parts.append(data[:end])
-        data = data[end:]
-    return [*parts, data]
+        parts.append(data[at : at + end])
+        at += end
+    return [*parts, data[at:]]
 
 
 def plan_cuts(sizes: np.ndarray, penalties: np.ndarray, max_units: int | None, max_bytes: int | None, overlap: int, weight: float = 2.0) -> list[tuple[int, int]]:

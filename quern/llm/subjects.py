@@ -29,9 +29,9 @@ from quern.runtime import cut_lineage, hash_sample, spread
 
 BUCKETS, DIM = 1 << 15, 16
 LONGEST_CODE = 240
-_FENCE = re.compile(r"(?ms)^[^\w\n]*```.*?^[^\w\n]*```")
+_FENCE = re.compile(r"(?ms)^[^\w\n`]*```.*?^[^\w\n`]*```")
 #: A fence that is never closed ends before the next paragraph of prose.
-_OPEN_FENCE = re.compile(r"(?ms)^[^\w\n]*```.*?(?:\n[ \t]*\n(?=[^\n{}=;]{20,}[.?!][ \t]*$)|\Z)")
+_OPEN_FENCE = re.compile(r"(?ms)^[^\w\n`]*```.*?(?:\n[ \t]*\n(?=[^\n{}=;]{20,}[.?!][ \t]*$)|\Z)")
 _SPAN = re.compile(r"`[^`\n]*`")
 _COMMIT = re.compile(r"^\W*[a-z]+(?:\([^)\s]*\))?!?:(?= )")
 _CODE = re.compile(r"[{}=]|;\s*$|\w\(|::|->")
