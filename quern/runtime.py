@@ -53,8 +53,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared folder, for tables that live as long as their readers."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
+    """A new folder name below the shared folder, for tables that live as long as the session."""
+    context = spark.sparkContext
+    root = getattr(context, "_quern_scratch", None)
+    if root is None:
+        root = f"{checkpoint_dir(spark).rstrip('/')}/quern-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        context._quern_scratch = root
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
