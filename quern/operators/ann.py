@@ -34,7 +34,12 @@ class IvfIndex:
         spark = vectors.sparkSession
         folder = folder or scratch_folder(spark, "lists")
         unit = vectors.filter(F.col(vector_col).isNotNull()).withColumn("__unit", array_to_vector(normalize(F.col(vector_col))))
-        lists = lists or max(1, round(unit.count() ** 0.5))
+        n = unit.count()
+        if n == 0:
+            vectors.limit(0).withColumn("list", F.lit(0)).write.parquet(f"{folder}/lists")
+            spark.createDataFrame([], "list int, centroid array<double>").write.parquet(f"{folder}/centroids")
+            return cls(spark, folder, id_col, vector_col)
+        lists = min(lists or max(1, round(n**0.5)), n)
         model = KMeans(k=lists, seed=seed, featuresCol="__unit", predictionCol="list", maxIter=15).fit(hash_sample(unit, id_col, sample))
         model.transform(unit).drop("__unit").write.partitionBy("list").parquet(f"{folder}/lists")
         centres = [(n, [float(x) for x in c]) for n, c in enumerate(model.clusterCenters())]
@@ -42,6 +47,8 @@ class IvfIndex:
         return cls(spark, folder, id_col, vector_col)
 
     def _near(self, query, probes: int | None) -> list[int]:
+        if not self.numbers:
+            return []
         probes = -(-11 * len(self.numbers) // 20) if probes is None else probes
         q = np.asarray(query, np.float64)
         q = q / (np.linalg.norm(q) or 1)

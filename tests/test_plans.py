@@ -119,3 +119,8 @@ def test_index_recall_on_clusters(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [list" in plan and plan.count(" IN ") >= 1
     assert again.search(vectors[0][1], 400, 8).count() == 400
+
+
+def test_index_of_nothing(spark):
+    index = IvfIndex.build(spark.createDataFrame([], "id int, v array<float>"), "id", "v")
+    assert index.search([1.0, 0.0]).collect() == []
