@@ -188,30 +188,32 @@ def _packed(weak: DataFrame, areas: list[str], parts: int) -> DataFrame:
         row = {c: [np.asarray(v, np.int32).tobytes()] for c, v in arrays.items()}
         return pd.DataFrame({"part": [group["part"].iloc[0]], **row, "target": [(target / weight[:, None]).tobytes()], "weight": [weight.tobytes()]})
 
-    return cut_lineage(placed.groupBy("part").applyInPandas(pack, _BLOB))
+    # every part a partition of its own: AQE would merge them, and with them the steps' work
+    apart = placed.repartitionByRange(parts, "part")
+    return cut_lineage(apart.groupBy("part").applyInPandas(pack, _BLOB))
 
 
 def _descend(packed: DataFrame, model: Model, steps: int, rate: float) -> None:
     """Synchronous full-batch Adam: one gradient per partition and step, added on the driver."""
-    spark, areas = packed.sparkSession, len(model.areas)
-    total = sum(float(np.frombuffer(r.weight, np.float32).sum()) for r in packed.select("weight").collect())
+    context, areas = packed.sparkSession.sparkContext, len(model.areas)
+    weights = [float(np.frombuffer(r.weight, np.float32).sum()) for r in packed.select("weight").collect()]  # one row per part
+    total = sum(weights)
     mean = [np.zeros_like(p) for p in model.params]
     square = [np.zeros_like(p) for p in model.params]
+    # planned once for all steps, each of which is one small job with a task for every part
+    parts = packed.rdd.map(lambda row: (row.part, row)).partitionBy(len(weights), int).values()
     for step in range(1, steps + 1):
-        sent = spark.sparkContext.broadcast(model.params)
+        sent = context.broadcast(model.params)
 
-        def gradients(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for row in batch.itertuples(index=False):
-                    rows, e, w, b = _gradient(_unpack(row, areas), sent.value, total)
-                    yield pd.DataFrame({"part": [row.part], "rows": [rows.astype(np.int32).tobytes()], "e": [e.astype(np.float32).tobytes()], "w": [w.astype(np.float32).tobytes()], "b": [b.astype(np.float32).tobytes()]})
+        def gradients(rows: Iterator, sent=sent) -> Iterator[tuple]:
+            for row in rows:
+                yield (row.part, *_gradient(_unpack(row, areas), sent.value, total))
 
         summed = [np.zeros_like(p) for p in model.params]
-        returned = packed.mapInPandas(gradients, "part int, rows binary, e binary, w binary, b binary").toArrow().to_pylist()
-        for row in sorted(returned, key=lambda r: r["part"]):
-            summed[0][np.frombuffer(row["rows"], np.int32)] += np.frombuffer(row["e"], np.float32).reshape(-1, DIM)
-            summed[1] += np.frombuffer(row["w"], np.float32).reshape(DIM, -1)
-            summed[2] += np.frombuffer(row["b"], np.float32)
+        for _, rows, e, w, b in sorted(parts.mapPartitions(gradients).collect(), key=lambda r: r[0]):
+            summed[0][rows] += e
+            summed[1] += w
+            summed[2] += b
         for p, g, m, v in zip(model.params, summed, mean, square, strict=True):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
